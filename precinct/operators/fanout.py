@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AREA = "area_name"
@@ -37,12 +37,26 @@ def incident_counts(incidents: DataFrame, *grain: str) -> DataFrame:
 def lookup_counts(lookup: DataFrame, *grain: str) -> DataFrame:
     """Lookup rows and their population per area and ``grain``."""
     return (
-        lookup.where(F.col(AREA).isNotNull() & F.col("population").isNotNull())
+        lookup.where(F.col("population").isNotNull())
         .groupBy(AREA, *grain)
         .agg(F.count(F.lit(1)).alias("n_lookup"), F.sum("population").alias("population"))
     )
 
 
+def lookup_districts(lookup: DataFrame) -> DataFrame:
+    """``lookup_counts`` per area and district, marking one main district per area.
+
+    The main district has the most lookup rows of the area, and comes first by name on
+    a tie. The window holds counted rows only: one per district of an area.
+    """
+    window = Window.partitionBy(AREA).orderBy(F.desc("n_lookup"), F.asc("district"))
+    return (
+        lookup_counts(lookup, "district")
+        .where(F.col("district").isNotNull())
+        .withColumn("is_main", F.row_number().over(window) == 1)
+    )
+
+
 def joined_counts(
     incidents: DataFrame,
     lookup: DataFrame,
@@ -58,7 +72,7 @@ def joined_counts(
     """
     left = incident_counts(incidents, *incident_columns)
     right = (
-        lookup.where(F.col(AREA).isNotNull() & F.col("population").isNotNull())
+        lookup.where(F.col("population").isNotNull())
         .groupBy(AREA, *lookup_columns)
         .agg(F.count(F.lit(1)).alias("n_lookup"))
     )

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from precinct.functions.tails import chi_square_tail
 from precinct.operators.contingency import assemble_vector, contingency_statistic
-from precinct.operators.fanout import AREA, in_categories, lookup_counts, salted_join
-from precinct.plans.rates import main_district
+from precinct.operators.fanout import (
+    AREA,
+    in_categories,
+    lookup_counts,
+    lookup_districts,
+    salted_join,
+)
 from precinct.sources.shared import checkpointed
 
 # Fixed value: Spark ML's chi-square test refuses more distinct values per side.
@@ -68,7 +73,7 @@ def paired_counts(
         if fanout:
             weights = lookup_counts(lookup, "district").where(F.col("district").isNotNull())
         else:
-            weights = main_district(lookup).withColumn("n_lookup", F.lit(1))
+            weights = lookup_districts(lookup).where("is_main").withColumn("n_lookup", F.lit(1))
         joined = counts.join(weights.select(AREA, "district", "n_lookup"), AREA, "inner")
     return (
         joined.groupBy(F.col(key).alias("key"))

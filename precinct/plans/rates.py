@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.functions.measures import ratio
-from precinct.operators.fanout import AREA, in_categories, incident_counts, lookup_counts
+from precinct.operators.fanout import (
+    AREA,
+    in_categories,
+    incident_counts,
+    lookup_counts,
+    lookup_districts,
+)
 
 
 def joined_totals(incidents: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -44,15 +50,6 @@ def joined_rate(
     )
 
 
-def main_district(lookup: DataFrame) -> DataFrame:
-    """One district per area: that of most lookup rows, the first by name on a tie."""
-    candidates = lookup_counts(lookup, "district").where(F.col("district").isNotNull())
-    best = F.min(F.struct((-F.col("n_lookup")).alias("order"), F.col("district")))
-    return candidates.groupBy(AREA).agg(best.alias("best")).select(
-        AREA, F.col("best.district").alias("district")
-    )
-
-
 def per_head_rate(
     incidents: DataFrame, lookup: DataFrame, *, categories: Sequence[str], digits: int | None = 3
 ) -> DataFrame:
@@ -61,21 +58,15 @@ def per_head_rate(
     Incidents go to the main district of their area. Districts without a case keep
     their population and get rate 0.
     """
-    cases = (
-        incident_counts(incidents.where(in_categories(categories)))
-        .join(main_district(lookup), AREA, "inner")
-        .groupBy("district")
-        .agg(F.sum("n_incidents").alias("tot_cases"))
-    )
-    population = (
-        lookup.where(F.col("population").isNotNull() & F.col("district").isNotNull())
+    cases = incident_counts(incidents.where(in_categories(categories)))
+    own_cases = F.when(F.col("is_main"), F.col("n_incidents"))
+    return (
+        lookup_districts(lookup)
+        .join(cases, AREA, "left")
         .groupBy("district")
-        .agg(F.sum("population").alias("tot_population"))
-    )
-    tot_cases = F.coalesce(F.col("tot_cases"), F.lit(0))
-    return population.join(cases, "district", "left").select(
-        "district",
-        "tot_population",
-        tot_cases.alias("tot_cases"),
-        ratio(tot_cases, F.col("tot_population"), digits).alias("cases_per_head"),
+        .agg(
+            F.sum("population").alias("tot_population"),
+            F.coalesce(F.sum(own_cases), F.lit(0)).alias("tot_cases"),
+        )
+        .withColumn("cases_per_head", ratio(F.col("tot_cases"), F.col("tot_population"), digits))
     )

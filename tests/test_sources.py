@@ -1,0 +1,178 @@
+from __future__ import annotations
+
+import gzip
+from pathlib import Path
+
+import pytest
+
+from helpers import bag, incidents_of
+from precinct import schemas
+from precinct.sources import shared
+from precinct.sources.files import read_area_lookup, read_incidents
+from precinct.sources.staging import (
+    read_staged_area_lookup,
+    read_staged_incidents,
+    stage_area_lookup,
+    stage_incidents,
+)
+
+CANONICAL = ["incident_id", "period", "area_code", "area_name", "category"]
+
+
+def gzip_text(path: Path, lines: list[str]) -> str:
+    with gzip.open(path, "wt") as out:
+        out.write("\n".join(lines) + "\n")
+    return str(path)
+
+
+@pytest.fixture
+def incident_file(tmp_path):
+    return gzip_text(
+        tmp_path / "incidents.txt.gz",
+        [
+            ",".join(schemas.RAW_INCIDENT_COLUMNS),
+            '11,2018-01,F,F,-1.5,53.1,"On, or near",E01,Leeds 1,Drugs,',
+            ",2018-02,F,F,,,,E02,Leeds 2,Drugs,Under investigation",
+            "12,2018-02,F,F,,,,,,Possession of weapons,",
+        ],
+    )
+
+
+@pytest.mark.parametrize("infer", [False, True])
+def test_incidents_are_canonical_with_and_without_inference(spark, incident_file, infer):
+    incidents = read_incidents(spark, incident_file, infer=infer)
+    assert incidents.dtypes == [(name, "string") for name in CANONICAL]
+    assert bag(incidents, *CANONICAL) == [
+        ("11", "2018-01", "E01", "Leeds 1", "Drugs"),
+        ("12", "2018-02", None, None, "Possession of weapons"),
+    ]
+
+
+def test_incidents_without_id_can_be_kept(spark, incident_file):
+    assert read_incidents(spark, incident_file, require_id=False).count() == 3
+
+
+def test_explicit_schema_keeps_leading_zeros(spark, tmp_path):
+    path = gzip_text(
+        tmp_path / "zeros.gz",
+        [",".join(schemas.RAW_INCIDENT_COLUMNS), "007,2018-01,,,,,,E1,N1,Drugs,"],
+    )
+    assert read_incidents(spark, path).first().incident_id == "007"
+
+
+def test_other_delimiter(spark, tmp_path):
+    path = gzip_text(
+        tmp_path / "tabs.gz",
+        ["\t".join(schemas.RAW_INCIDENT_COLUMNS), "\t".join("1,2018-01,,,,,,E1,N1,Drugs,".split(","))],
+    )
+    assert read_incidents(spark, path, delimiter="\t").first().category == "Drugs"
+
+
+def lookup_line(district: str, area: str, population: str) -> str:
+    values = {"district": district, "lsoa_name": area, "population": population}
+    return ",".join(values.get(name, "") for name in schemas.RAW_AREA_LOOKUP_COLUMNS)
+
+
+def test_lookup_drops_header_line_and_unreadable_population(spark, tmp_path):
+    path = gzip_text(
+        tmp_path / "lookup.gz",
+        [
+            ",".join(schemas.RAW_AREA_LOOKUP_COLUMNS),
+            lookup_line("Leeds", "Leeds 1", "20"),
+            lookup_line("Leeds", "Leeds 1", ""),
+            lookup_line("Leeds", "Leeds 2", "many"),
+            lookup_line("York", "York 1", "0"),
+        ],
+    )
+    lookup = read_area_lookup(spark, path)
+    assert lookup.dtypes == [("district", "string"), ("area_name", "string"), ("population", "int")]
+    assert bag(lookup, "district", "area_name", "population") == [
+        ("Leeds", "Leeds 1", 20),
+        ("York", "York 1", 0),
+    ]
+    assert read_area_lookup(spark, path, header=True).count() == 2
+    assert read_area_lookup(spark, path, require_population=False).count() == 5
+
+
+def test_lookup_layout_has_27_columns():
+    assert len(schemas.RAW_AREA_LOOKUP_COLUMNS) == 27
+    assert len(schemas.RAW_INCIDENT_COLUMNS) == 11
+
+
+def test_staging_round_trip_and_partition_pruning(spark, tmp_path):
+    rows = [
+        ("1", "2018-01", "E1", "N1", "Drugs"),
+        ("2", "2018-02", "E1", "N1", "Drugs"),
+        ("3", None, "E2", None, None),
+    ]
+    path = str(tmp_path / "staged")
+    stage_incidents(incidents_of(spark, rows), path)
+    staged = read_staged_incidents(spark, path)
+    assert dict(staged.dtypes)["period"] == "string"
+    assert bag(staged, *CANONICAL) == sorted(rows, key=repr)
+    february = staged.where("period = '2018-02'")
+    assert february.count() == 1
+    plan = february._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period" in plan
+
+
+def test_staging_cuts_a_hot_period_into_several_files(spark, tmp_path):
+    rows = spark.range(200_000).selectExpr(
+        "uuid() AS incident_id",
+        "'2018-01' AS period",
+        "'E1' AS area_code",
+        "'N1' AS area_name",
+        "'Drugs' AS category",
+    )
+    path = tmp_path / "hot"
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "1MB")
+    try:
+        stage_incidents(rows.repartition(8), str(path))
+    finally:
+        spark.conf.unset(size)
+    assert len(list((path / "period=2018-01").glob("*.parquet"))) > 2
+    assert read_staged_incidents(spark, str(path)).count() == 200_000
+
+
+def test_lookup_staging_round_trip(spark, tmp_path):
+    rows = [("Leeds", "N1", 5), (None, "N2", None)]
+    path = str(tmp_path / "lookup")
+    stage_area_lookup(spark.createDataFrame(rows, schemas.AREA_LOOKUP), path)
+    staged = read_staged_area_lookup(spark, path)
+    assert bag(staged, "district", "area_name", "population") == sorted(rows, key=repr)
+
+
+class FakeContext:
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class FakeSession:
+    def __init__(self, master, conf):
+        self.sparkContext = FakeContext(master)
+        self.conf = conf
+
+
+def test_shared_folder_comes_from_the_session():
+    session = FakeSession("yarn", {"spark.checkpoint.dir": "hdfs:///shared"})
+    assert shared.shared_dir(session) == "hdfs:///shared"
+    assert shared.scratch_path(session, "x").startswith("hdfs:///shared/x-")
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(FakeSession("spark://host:7077", {}))
+
+
+def test_local_mode_makes_its_own_folder():
+    session = FakeSession("local[2]", {})
+    folder = shared.shared_dir(session)
+    assert Path(folder).is_dir()
+    assert shared.shared_dir(session) == folder
