@@ -6,13 +6,21 @@ Every function takes and returns DataFrames over two canonical tables::
     area_lookup(district, area_name, population)
 """
 
+from precinct.operators.fanout import joined_counts, roll_up
 from precinct.plans.association import association, chi_square, paired_counts
 from precinct.plans.profile import count_distinct_values, count_rows, distinct_values
 from precinct.plans.rates import joined_rate, per_head_rate
 from precinct.plans.trend import average_change, period_change, period_counts, trend
 from precinct.session import get_session
 from precinct.sources.files import read_area_lookup, read_incidents
-from precinct.sources.staging import read_staged_incidents, stage_incidents
+from precinct.sources.staging import (
+    read_staged_area_lookup,
+    read_staged_incident_counts,
+    read_staged_incidents,
+    stage_area_lookup,
+    stage_incident_counts,
+    stage_incidents,
+)
 
 __all__ = [
     "association",
@@ -22,6 +30,7 @@ __all__ = [
     "count_rows",
     "distinct_values",
     "get_session",
+    "joined_counts",
     "joined_rate",
     "paired_counts",
     "per_head_rate",
@@ -29,7 +38,12 @@ __all__ = [
     "period_counts",
     "read_area_lookup",
     "read_incidents",
+    "read_staged_area_lookup",
+    "read_staged_incident_counts",
     "read_staged_incidents",
+    "roll_up",
+    "stage_area_lookup",
+    "stage_incident_counts",
     "stage_incidents",
     "trend",
 ]

@@ -19,18 +19,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AREA = "area_name"
+COUNT = "n_incidents"
 
 
 def in_categories(categories: Sequence[str]) -> Column:
     return F.col("category").isin(list(categories))
 
 
+def incidents_in(rows: DataFrame) -> Column:
+    """How many incidents a row stands for: 1, or its count in a rolled-up table."""
+    return F.col(COUNT) if COUNT in rows.columns else F.lit(1)
+
+
+def roll_up(incidents: DataFrame) -> DataFrame:
+    """Incidents per period, area and category: all that the analyses look at.
+
+    They accept this table in place of the incidents, so that one pass over the raw
+    rows serves all of them. Its size is bounded by the values of the four columns.
+    """
+    return incidents.groupBy("period", "area_code", AREA, "category").agg(
+        F.sum(incidents_in(incidents)).alias(COUNT)
+    )
+
+
 def incident_counts(incidents: DataFrame, *grain: str) -> DataFrame:
     """Incidents per area and ``grain``. A null area can never join, so it goes first."""
     return (
         incidents.where(F.col(AREA).isNotNull())
         .groupBy(AREA, *grain)
-        .agg(F.count(F.lit(1)).alias("n_incidents"))
+        .agg(F.sum(incidents_in(incidents)).alias(COUNT))
     )
 
 
@@ -79,7 +96,7 @@ def joined_counts(
     return (
         left.join(right, AREA, "inner")
         .groupBy(*incident_columns, *lookup_columns)
-        .agg(F.sum(F.col("n_incidents") * F.col("n_lookup")).alias("n_rows"))
+        .agg(F.sum(F.col(COUNT) * F.col("n_lookup")).alias("n_rows"))
     )
 
 

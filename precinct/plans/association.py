@@ -13,6 +13,7 @@ from precinct.operators.contingency import assemble_vector, contingency_statisti
 from precinct.operators.fanout import (
     AREA,
     in_categories,
+    incidents_in,
     lookup_counts,
     lookup_districts,
     salted_join,
@@ -21,9 +22,11 @@ from precinct.sources.shared import checkpointed
 
 # Fixed value: Spark ML's chi-square test refuses more distinct values per side.
 MAX_DISTINCT = 10_000
-# Spark ML gathers the occupied cells of a table in one task. Above this many, with
-# the limit per side, a table has more than 900,000 degrees of freedom.
+# Spark ML collects the occupied cells of a table in one task, as a hash map, and lays
+# the whole table out there, as a dense matrix. These keep the task near 200 MB. A table
+# beyond them has 10,000 degrees of freedom or more, unless one side is constant.
 MAX_CELLS = 1_000_000
+MAX_TABLE = 10_000_000
 
 ASSOCIATION = (
     "statistic double, degrees_of_freedom bigint, p_value double, n_groups bigint, "
@@ -53,13 +56,14 @@ def paired_counts(
     if key not in ("area_code", "district"):
         raise ValueError(f"key must be 'area_code' or 'district', not {key!r}")
     grain = [key] if key == "area_code" else []
+    each = incidents_in(incidents)
     counts = (
         incidents.where(in_categories([*left, *right]))
         .where(F.col(AREA).isNotNull())
         .groupBy(AREA, *grain)
         .agg(
-            F.count_if(in_categories(left)).alias("n_left"),
-            F.count_if(in_categories(right)).alias("n_right"),
+            F.sum(F.when(in_categories(left), each).otherwise(0)).alias("n_left"),
+            F.sum(F.when(in_categories(right), each).otherwise(0)).alias("n_right"),
         )
     )
     if key == "area_code":
@@ -114,7 +118,11 @@ def chi_square(
     degenerate = (
         table.n_groups in (table.n_features, table.n_labels) or table.degrees_of_freedom == 0
     )
-    exact = max(table.n_features, table.n_labels) <= MAX_DISTINCT and table.n_cells <= MAX_CELLS
+    exact = (
+        max(table.n_features, table.n_labels) <= MAX_DISTINCT
+        and table.n_cells <= MAX_CELLS
+        and table.n_features * table.n_labels <= MAX_TABLE
+    )
     if exact:
         vectors = assemble_vector(held, [feature])
         test = ChiSquareTest.test(vectors, "vector", label, flatten=True).first()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.functions.measures import percentage_change
-from precinct.operators.fanout import in_categories
+from precinct.operators.fanout import in_categories, incidents_in
 from precinct.operators.series import fill_missing_months, previous_value
 
 
@@ -17,7 +17,7 @@ def period_counts(
 ) -> DataFrame:
     """Incidents per period (and series ``by``), of the given categories or all."""
     kept = incidents if categories is None else incidents.where(in_categories(categories))
-    return kept.groupBy(*by, "period").agg(F.count(F.lit(1)).alias("count"))
+    return kept.groupBy(*by, "period").agg(F.sum(incidents_in(incidents)).alias("count"))
 
 
 def period_change(

@@ -5,6 +5,9 @@ from __future__ import annotations
 INCIDENTS = (
     "incident_id string, period string, area_code string, area_name string, category string"
 )
+INCIDENT_COUNTS = (
+    "area_code string, area_name string, category string, n_incidents bigint, period string"
+)
 AREA_LOOKUP = "district string, area_name string, population int"
 
 # Columns of the raw incident files, in file order. All are read as

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from precinct import schemas
+from precinct.operators.fanout import roll_up
 
 
 def stage_incidents(incidents: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
@@ -18,6 +19,15 @@ def stage_incidents(incidents: DataFrame, path: str, *, mode: str = "errorifexis
     rebalanced.write.mode(mode).partitionBy("period").parquet(path)
 
 
+def stage_incident_counts(incidents: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
+    """Write ``roll_up(incidents)`` as Parquet partitioned by period.
+
+    The raw rows are read once, and only their counts are shuffled and written.
+    """
+    rebalanced = roll_up(incidents).hint("rebalance", "period")
+    rebalanced.write.mode(mode).partitionBy("period").parquet(path)
+
+
 def stage_area_lookup(lookup: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """Write the area lookup as Parquet in evenly sized files."""
     lookup.hint("rebalance").write.mode(mode).parquet(path)
@@ -31,5 +41,10 @@ def read_staged_incidents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.INCIDENTS).parquet(path)
 
 
+def read_staged_incident_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Read a staged roll-up, which every analysis takes in place of the incidents."""
+    return spark.read.schema(schemas.INCIDENT_COUNTS).parquet(path)
+
+
 def read_staged_area_lookup(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.AREA_LOOKUP).parquet(path)

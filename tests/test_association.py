@@ -205,11 +205,12 @@ def test_more_than_10000_values_against_a_constant(spark):
     assert row.approximate and row.degenerate
 
 
-def test_too_many_cells_take_the_distributed_form(spark, monkeypatch):
+@pytest.mark.parametrize("limit", ["MAX_CELLS", "MAX_TABLE"])
+def test_too_large_a_table_takes_the_distributed_form(spark, monkeypatch, limit):
     rng = random.Random(3)
     frame = pairs_of(spark, [(rng.randrange(9), rng.randrange(9)) for _ in range(300)])
     exact = chi_square(frame).first()
-    monkeypatch.setattr(module, "MAX_CELLS", 10)
+    monkeypatch.setattr(module, limit, 10)
     approximate = chi_square(frame).first()
     assert approximate.approximate and not exact.approximate
     assert approximate.statistic == pytest.approx(exact.statistic)

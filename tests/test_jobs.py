@@ -50,7 +50,7 @@ def test_report_matches_a_count_by_hand(spark, files):
     results = report(incidents, lookup, district="Birmingham")
     rows = [row for row in files["incident_rows"] if row["Crime ID"]]
 
-    assert results["incidents"].first().n_rows == len(rows)
+    assert results["incidents"].first().n_incidents == len(rows)
     assert results["lookup rows"].first().n_rows == 40
     assert {row.category for row in results["categories"].collect()} == set(CATEGORIES)
     assert results["months"].first().n_distinct == 6

@@ -1,0 +1,52 @@
+"""The roll-up gives every analysis the result of the incidents themselves."""
+
+from __future__ import annotations
+
+import pytest
+
+from helpers import A, B, bag, random_tables
+from precinct.operators.fanout import joined_counts, roll_up
+from precinct.plans.association import paired_counts
+from precinct.plans.profile import count_incidents, distinct_values
+from precinct.plans.rates import joined_rate, per_head_rate
+from precinct.plans.trend import period_counts, trend
+from precinct.sources.staging import read_staged_incident_counts, stage_incident_counts
+
+ANALYSES = {
+    "incidents": lambda incidents, lookup: count_incidents(incidents),
+    "categories": lambda incidents, lookup: distinct_values(incidents, "category"),
+    "period counts": lambda incidents, lookup: period_counts(incidents, by=["area_name"]),
+    "trend": lambda incidents, lookup: trend(incidents, categories=A, fill_gaps=True),
+    "joined counts": joined_counts,
+    "joined rate": lambda incidents, lookup: joined_rate(incidents, lookup, categories=A),
+    "per-head rate": lambda incidents, lookup: per_head_rate(incidents, lookup, categories=A),
+    "area pairs": lambda incidents, lookup: paired_counts(
+        incidents, lookup, left=A, right=B, key="area_code"
+    ),
+    "district pairs": lambda incidents, lookup: paired_counts(
+        incidents, lookup, left=A, right=B, key="district", fanout=False
+    ),
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    incidents, lookup = random_tables(spark, 11)
+    path = str(tmp_path_factory.mktemp("rollup") / "counts")
+    stage_incident_counts(incidents, path)
+    return incidents, lookup, read_staged_incident_counts(spark, path)
+
+
+@pytest.mark.parametrize("name", ANALYSES)
+def test_rolled_up_incidents_give_the_same_result(tables, name):
+    incidents, lookup, staged = tables
+    assert bag(ANALYSES[name](staged, lookup)) == bag(ANALYSES[name](incidents, lookup))
+
+
+def test_roll_up_of_a_roll_up_changes_nothing(tables):
+    incidents, _, staged = tables
+    assert bag(roll_up(staged)) == bag(staged) == bag(roll_up(incidents))
+
+
+def test_no_incidents_count_as_zero(tables):
+    assert count_incidents(tables[0].where("false")).first().n_incidents == 0

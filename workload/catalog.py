@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from precinct import schemas
 from precinct.functions.measures import percentage_change, ratio
 from precinct.operators.contingency import assemble_vector, contingency_statistic
-from precinct.operators.fanout import in_categories, joined_counts
+from precinct.operators.fanout import in_categories, joined_counts, roll_up
 from precinct.operators.points import translate_points
 from precinct.operators.ranking import top_k
 from precinct.operators.series import previous_value
@@ -27,8 +27,10 @@ from precinct.sources.files import canonical_incidents, read_area_lookup, read_i
 from precinct.sources.shared import scratch_path
 from precinct.sources.staging import (
     read_staged_area_lookup,
+    read_staged_incident_counts,
     read_staged_incidents,
     stage_area_lookup,
+    stage_incident_counts,
     stage_incidents,
 )
 from workload.views import (
@@ -135,6 +137,16 @@ def stage_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_staged_incidents(spark, path)
 
 
+@query(with_views("""
+SELECT CAST(area_code AS VARCHAR) AS area_code, CAST(area_name AS VARCHAR) AS area_name, category,
+       count(*) AS n_incidents, period
+FROM identified GROUP BY ALL"""))
+def stage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "staged-counts")
+    stage_incident_counts(canonical_incidents(raw_incidents(spark, sf_dir)), path)
+    return read_staged_incident_counts(spark, path)
+
+
 @query(with_views(f"""
 SELECT district, CAST(sum(population) AS BIGINT) AS tot_population, count(*) AS tot_cases,
        {half_up("count(*) / nullif(sum(population), 0)", 3)} AS cases_per_head
@@ -143,12 +155,12 @@ def rate_joined_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate analysis from gzip CSV over staged Parquet to the result."""
     incident_files = write_gzip_csv(raw_incidents(spark, sf_dir), "incidents", header=True)
     lookup_files = write_gzip_csv(raw_area_lookup(spark, sf_dir), "lookup", header=False)
-    staged_incidents = scratch_path(spark, "staged-incidents")
+    staged_counts = scratch_path(spark, "staged-counts")
     staged_lookup = scratch_path(spark, "staged-lookup")
-    stage_incidents(read_incidents(spark, incident_files), staged_incidents)
+    stage_incident_counts(read_incidents(spark, incident_files), staged_counts)
     stage_area_lookup(read_area_lookup(spark, lookup_files), staged_lookup)
     return joined_rate(
-        read_staged_incidents(spark, staged_incidents),
+        read_staged_incident_counts(spark, staged_counts),
         read_staged_area_lookup(spark, staged_lookup),
         categories=SET1,
     )
@@ -459,6 +471,11 @@ def trend_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return average.withColumn("avg_percentage_change", F.round("avg_percentage_change", 6))
 
 
+@query(with_views(changes_sql() + " SELECT * FROM changes"))
+def trend_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trend(roll_up(identified(spark, sf_dir)), categories=SET1)
+
+
 @query(with_views(changes_sql(base="prev_count") + " SELECT * FROM changes"))
 def trend_previous_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend(identified(spark, sf_dir), categories=SET1, base="previous")
@@ -500,6 +517,12 @@ def rate_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_rate(identified(spark, sf_dir), area_lookup(spark, sf_dir), categories=SET1)
 
 
+@query(with_views(RATES_SQL + " SELECT * FROM rates"))
+def rate_joined_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = roll_up(identified(spark, sf_dir))
+    return joined_rate(counts, area_lookup(spark, sf_dir), categories=SET1)
+
+
 @query(with_views(RATES_SQL + " SELECT * FROM rates", lookup=SHARED_LOOKUP_SQL))
 def rate_joined_shared_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_rate(identified(spark, sf_dir), shared_lookup(spark, sf_dir), categories=SET1)
