@@ -73,6 +73,17 @@ def test_both_sides_are_counted_before_the_join(spark, sf_dir, name):
         assert next(found for found in below if found).group() == "HashAggregate"
 
 
+def test_trend_shuffles_counts_only(spark, sf_dir):
+    plan = final_plan(QUERIES["trend_series"](spark, sf_dir))
+    assert "Join" not in plan and plan.count("FileScan") == 1
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "In(o_orderpriority" in scan and "Not(EqualTo(o_orderstatus,P))" in scan
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            assert "HashAggregate" in next(x for x in lines[i + 1 :] if "Stage" not in x)
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = QUERIES["rate_joined"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     orders = next(line for line in plan.splitlines() if "orders.parquet" in line)

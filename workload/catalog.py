@@ -43,6 +43,7 @@ from workload.views import (
     SHARED_LOOKUP_SQL,
     area_lookup,
     daily_events,
+    dated,
     identified,
     incidents,
     shared_lookup,
@@ -254,7 +255,7 @@ def join_group_counts_district(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT period, count(*) AS "count" FROM identified
 WHERE category IN {SET1_SQL} GROUP BY period"""))
 def group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return period_counts(identified(spark, sf_dir), categories=SET1)
+    return period_counts(dated(spark, sf_dir), categories=SET1)
 
 
 @query(with_views(f"""
@@ -267,7 +268,7 @@ def group_sum_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views("SELECT count(*) AS n_rows FROM identified"), name="count_rows")
 def count_rows_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_rows(identified(spark, sf_dir))
+    return count_rows(dated(spark, sf_dir))
 
 
 @query(with_views("SELECT count(*) AS n_rows FROM area_lookup WHERE population IS NOT NULL"))
@@ -277,7 +278,7 @@ def count_rows_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views("SELECT DISTINCT category FROM identified"), name="distinct_values")
 def distinct_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_values(identified(spark, sf_dir), "category")
+    return distinct_values(dated(spark, sf_dir), "category")
 
 
 @query(
@@ -287,7 +288,7 @@ def distinct_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     name="count_distinct_values",
 )
 def count_distinct_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_distinct_values(identified(spark, sf_dir), "period")
+    return count_distinct_values(dated(spark, sf_dir), "period")
 
 
 # ---------------------------------------------------------------- windows, sorts, ratios
@@ -306,24 +307,24 @@ def changes_sql(base: str = '"count"') -> str:
 
 @query(with_views(changes_sql() + ' SELECT period, "count", prev_count FROM lagged'))
 def window_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = period_counts(identified(spark, sf_dir), categories=SET1)
+    counts = period_counts(dated(spark, sf_dir), categories=SET1)
     return previous_value(counts, period="period", value="count", output="prev_count")
 
 
 @query(with_views(changes_sql() + " SELECT * FROM changes"))
 def pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return period_change(period_counts(identified(spark, sf_dir), categories=SET1))
+    return period_change(period_counts(dated(spark, sf_dir), categories=SET1))
 
 
 @query(with_views(changes_sql() + " SELECT round(avg(percentage_change), 6) AS average FROM changes"))
 def global_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = period_change(period_counts(identified(spark, sf_dir), categories=SET1))
+    changes = period_change(period_counts(dated(spark, sf_dir), categories=SET1))
     return changes.agg(F.round(F.avg("percentage_change"), 6).alias("average"))
 
 
 @query(with_views(changes_sql() + ' SELECT period, "count" FROM counts ORDER BY period'))
 def sort_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return period_counts(identified(spark, sf_dir), categories=SET1).orderBy("period")
+    return period_counts(dated(spark, sf_dir), categories=SET1).orderBy("period")
 
 
 @query(with_views(f"""
@@ -459,14 +460,14 @@ def chi_square_district(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views(changes_sql() + " SELECT * FROM changes ORDER BY period"))
 def trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend(identified(spark, sf_dir), categories=SET1)
+    return trend(dated(spark, sf_dir), categories=SET1)
 
 
 @query(with_views(changes_sql() + """
 SELECT round(avg(percentage_change), 6) AS avg_percentage_change,
        avg(percentage_change) > 0 AS increasing FROM changes"""))
 def trend_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = period_change(period_counts(identified(spark, sf_dir), categories=SET1))
+    changes = period_change(period_counts(dated(spark, sf_dir), categories=SET1))
     average = average_change(changes)
     return average.withColumn("avg_percentage_change", F.round("avg_percentage_change", 6))
 
@@ -478,7 +479,7 @@ def trend_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views(changes_sql(base="prev_count") + " SELECT * FROM changes"))
 def trend_previous_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend(identified(spark, sf_dir), categories=SET1, base="previous")
+    return trend(dated(spark, sf_dir), categories=SET1, base="previous")
 
 
 @query(with_views(f"""
