@@ -7,8 +7,8 @@ from pyspark.sql import SparkSession
 # UTC keeps month boundaries the same on every cluster. The adaptive settings are
 # Spark's defaults, named here because the plans count on them: run-time broadcast
 # decisions from measured shuffle sizes, partition coalescing, and the splitting of
-# oversized partitions in joins and rebalanced writes. The last setting removes the
-# checkpoint of a finished test; it takes effect only in a session created here.
+# oversized partitions in joins and rebalanced writes. The last one lets Spark remove
+# checkpoints nothing refers to any more, in a session that is created here.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,20 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, local
-    mode makes a folder of its own; a real cluster gets an error, because a folder
-    on one machine would be lost with it.
+    The cluster names it in ``spark.checkpoint.dir``. Where neither that nor a
+    checkpoint folder is set, local mode makes a folder of its own; a real cluster gets
+    an error, because a folder on one machine would be lost with it.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is not None:
-        return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    current = context.getCheckpointDir()
+    if folder:
+        if current is None or urlparse(folder).path not in current:
+            context.setCheckpointDir(folder)
+    elif current is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="precinct-")
-    context.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="precinct-"))
     return context.getCheckpointDir()
 
 

@@ -166,6 +166,20 @@ def test_shared_folder_comes_from_the_session():
     assert shared.scratch_path(session, "x").startswith("hdfs:///shared/x-")
 
 
+def test_session_setting_goes_before_an_earlier_folder():
+    session = FakeSession("yarn", {"spark.checkpoint.dir": "hdfs:///shared"})
+    session.sparkContext.folder = "file:/tmp/other"
+    assert shared.shared_dir(session) == "hdfs:///shared"
+    session.sparkContext.folder = "hdfs://name:8020/shared/0b1c"
+    assert shared.shared_dir(session) == "hdfs://name:8020/shared/0b1c"
+
+
+def test_folder_of_the_context_is_kept_where_the_session_names_none():
+    session = FakeSession("yarn", {})
+    session.sparkContext.folder = "hdfs:///chosen"
+    assert shared.shared_dir(session) == "hdfs:///chosen"
+
+
 def test_cluster_without_shared_folder_is_an_error():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.shared_dir(FakeSession("spark://host:7077", {}))
