@@ -5,8 +5,8 @@
                                  each with area codes of its own and a third of the rows
                                  in one area
 
-Each query runs once to warm up and then ``BENCH_RUNS`` times (default 3); the median
-counts. Results are written to the noop sink, so every row is computed.
+All queries run once to warm up the JVM, then each ``BENCH_RUNS`` times (default 3); the
+median counts. Results go to the noop sink, so every row is computed.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import statistics
 import sys
 import time
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,19 +70,23 @@ PLAIN_SQL = {
 }
 
 
-def seconds(make: Callable[[], DataFrame], runs: int) -> float:
-    times = []
-    for _ in range(runs + 1):
-        start = time.perf_counter()
-        make().write.format("noop").mode("overwrite").save()
-        times.append(time.perf_counter() - start)
-    return round(statistics.median(times[1:]), 3)
+def run(make: Callable[[], DataFrame]) -> float:
+    start = time.perf_counter()
+    make().write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
 
 
-def headline(spark: SparkSession, sf_dir: str, runs: int) -> dict:
-    times = {
-        name: seconds(lambda name=name: QUERIES[name](spark, sf_dir), runs) for name in HEADLINE
+def medians(queries: dict[str, Callable[[], DataFrame]], runs: int) -> dict[str, float]:
+    for make in queries.values():
+        run(make)
+    return {
+        name: round(statistics.median(run(make) for _ in range(runs)), 3)
+        for name, make in queries.items()
     }
+
+
+def headline(spark: SparkSession, sf_dir: str, runs: int) -> dict:
+    times = medians({name: partial(QUERIES[name], spark, sf_dir) for name in HEADLINE}, runs)
     return {
         "metric": "headline_queries_total",
         "value": round(sum(times.values()), 3),
@@ -106,15 +111,15 @@ def compare(spark: SparkSession, sf_dir: str, runs: int, copies: int) -> dict:
     incidents.createOrReplaceTempView("incidents")
     lookup.createOrReplaceTempView("area_lookup")
     sets = {"left": SET1, "right": SET2}
-    counted = {
-        "rate_joined": lambda: joined_rate(incidents, lookup, categories=SET1),
-        "pairs_area": lambda: paired_counts(incidents, lookup, **sets, key="area_code"),
-        "pairs_district": lambda: paired_counts(incidents, lookup, **sets, key="district"),
+    forms = {
+        "rate_joined_counted": lambda: joined_rate(incidents, lookup, categories=SET1),
+        "rate_joined_plain": lambda: spark.sql(PLAIN_SQL["rate_joined"]),
+        "pairs_area_counted": lambda: paired_counts(incidents, lookup, **sets, key="area_code"),
+        "pairs_area_plain": lambda: spark.sql(PLAIN_SQL["pairs_area"]),
+        "pairs_district_counted": lambda: paired_counts(incidents, lookup, **sets, key="district"),
+        "pairs_district_plain": lambda: spark.sql(PLAIN_SQL["pairs_district"]),
     }
-    times = {}
-    for name, make in counted.items():
-        times[f"{name}_counted"] = seconds(make, runs)
-        times[f"{name}_plain"] = seconds(lambda name=name: spark.sql(PLAIN_SQL[name]), runs)
+    times = medians(forms, runs)
     return {
         "metric": "counted_against_plain_join",
         "value": round(sum(times.values()), 3),

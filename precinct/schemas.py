@@ -6,7 +6,7 @@ INCIDENTS = (
     "incident_id string, period string, area_code string, area_name string, category string"
 )
 INCIDENT_COUNTS = (
-    "area_code string, area_name string, category string, n_incidents bigint, period string"
+    "period string, area_code string, area_name string, category string, n_incidents bigint"
 )
 AREA_LOOKUP = "district string, area_name string, population int"
 

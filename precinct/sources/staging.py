@@ -20,12 +20,13 @@ def stage_incidents(incidents: DataFrame, path: str, *, mode: str = "errorifexis
 
 
 def stage_incident_counts(incidents: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    """Write ``roll_up(incidents)`` as Parquet partitioned by period.
+    """Write ``roll_up(incidents)`` as Parquet.
 
-    The raw rows are read once, and only their counts are shuffled and written.
+    The raw rows are read once, and only their counts are shuffled and written. Each
+    file holds few categories, so that the category filter of an analysis skips the
+    row groups of the others; AQE cuts a large category into several files.
     """
-    rebalanced = roll_up(incidents).hint("rebalance", "period")
-    rebalanced.write.mode(mode).partitionBy("period").parquet(path)
+    roll_up(incidents).hint("rebalance", "category").write.mode(mode).parquet(path)
 
 
 def stage_area_lookup(lookup: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
