@@ -8,7 +8,12 @@ Every function takes and returns DataFrames over two canonical tables::
 
 from precinct.operators.fanout import joined_counts, roll_up
 from precinct.plans.association import association, chi_square, paired_counts
-from precinct.plans.profile import count_distinct_values, count_rows, distinct_values
+from precinct.plans.profile import (
+    count_distinct_values,
+    count_incidents,
+    count_rows,
+    distinct_values,
+)
 from precinct.plans.rates import joined_rate, per_head_rate
 from precinct.plans.trend import average_change, period_change, period_counts, trend
 from precinct.session import get_session
@@ -27,6 +32,7 @@ __all__ = [
     "average_change",
     "chi_square",
     "count_distinct_values",
+    "count_incidents",
     "count_rows",
     "distinct_values",
     "get_session",
