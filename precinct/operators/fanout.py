@@ -80,12 +80,14 @@ def joined_counts(
     *,
     incident_columns: Sequence[str] = ("period",),
     lookup_columns: Sequence[str] = ("district", "population"),
+    salts: int = 1,
 ) -> DataFrame:
     """The joined table as a bag: its distinct rows, with ``n_rows`` for how often.
 
     Holds exactly what ``incidents JOIN lookup USING (area_name)`` projected to the
     given columns holds. Repeats are counted, not written out, so an area adds at most
-    as many rows as it has distinct values on both sides.
+    as many rows as it has distinct values on both sides. Raise ``salts`` for incident
+    columns with very many values in one area, such as the area code.
     """
     left = incident_counts(incidents, *incident_columns)
     right = (
@@ -94,24 +96,26 @@ def joined_counts(
         .agg(F.count(F.lit(1)).alias("n_lookup"))
     )
     return (
-        left.join(right, AREA, "inner")
+        salted_join(left, right, AREA, spread_by=incident_columns, salts=salts)
         .groupBy(*incident_columns, *lookup_columns)
         .agg(F.sum(F.col(COUNT) * F.col("n_lookup")).alias("n_rows"))
     )
 
 
-def salted_join(many: DataFrame, one: DataFrame, on: str, *, spread_by: str, salts: int) -> DataFrame:
-    """Inner join where ``many`` may repeat a key very often and ``one`` never does.
+def salted_join(
+    hot: DataFrame, other: DataFrame, on: str, *, spread_by: Sequence[str], salts: int
+) -> DataFrame:
+    """Inner join of counted tables where ``hot`` may repeat a key very often.
 
-    The rows of a hot key are spread over ``salts`` tasks by the hash of
-    ``spread_by``; ``one`` is repeated once per salt. AQE cannot do this here, since
-    it splits a join partition only if both inputs come straight from a shuffle, and
-    ``one`` comes from an aggregate.
+    The rows of a key are spread over ``salts`` tasks by the hash of ``spread_by``, and
+    ``other`` is repeated once per salt. AQE cannot do this for counted tables: it splits
+    a join partition only if both inputs come straight from a shuffle, and these come
+    from an aggregate.
     """
     if salts < 1:
         raise ValueError("salts must be at least 1")
     if salts == 1:
-        return many.join(one, on, "inner")
-    left = many.withColumn("salt", F.pmod(F.hash(spread_by), F.lit(salts)))
-    right = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return hot.join(other, on, "inner")
+    left = hot.withColumn("salt", F.pmod(F.hash(*spread_by), F.lit(salts)))
+    right = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [on, "salt"], "inner").drop("salt")

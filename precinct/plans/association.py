@@ -72,7 +72,7 @@ def paired_counts(
         if not fanout:
             weights = weights.withColumn("n_lookup", F.lit(1))
         weights = weights.select(AREA, "n_lookup")
-        joined = salted_join(counts, weights, AREA, spread_by="area_code", salts=salts)
+        joined = salted_join(counts, weights, AREA, spread_by=["area_code"], salts=salts)
     else:
         if fanout:
             weights = lookup_counts(lookup, "district").where(F.col("district").isNotNull())

@@ -107,8 +107,8 @@ def test_salting_spreads_a_hot_area(spark):
     )
     one = many.select("area_name").distinct().withColumn("n_lookup", F.lit(2))
     with conf(spark, **NO_BROADCAST, adaptive__enabled="false", shuffle__partitions="16"):
-        plain = salted_join(many, one, "area_name", spread_by="area_code", salts=1)
-        salted = salted_join(many, one, "area_name", spread_by="area_code", salts=32)
+        plain = salted_join(many, one, "area_name", spread_by=["area_code"], salts=1)
+        salted = salted_join(many, one, "area_name", spread_by=["area_code"], salts=32)
         assert partitions_of(plain, "area_name = 'hot'") == 1
         assert partitions_of(salted, "area_name = 'hot'") > 8
         assert sorted(plain.collect()) == sorted(salted.select(plain.columns).collect())
@@ -125,7 +125,7 @@ def test_area_pairs_use_the_salted_join(spark):
 def test_salts_must_be_positive(spark):
     one = spark.createDataFrame([("x", 1)], "area_name string, n int")
     with pytest.raises(ValueError, match="salts"):
-        salted_join(one, one, "area_name", spread_by="n", salts=0)
+        salted_join(one, one, "area_name", spread_by=["n"], salts=0)
 
 
 POINTS = "longitude string, latitude string, postcode string"

@@ -48,10 +48,15 @@ def test_joined_counts_hold_the_plain_join(spark, seed, incident_columns, lookup
     plain_join(spark, incidents, lookup)
     columns = ", ".join([*incident_columns, *lookup_columns])
     plain = spark.sql(f"SELECT {columns}, count(*) AS n_rows FROM joined GROUP BY {columns}")
-    counted = joined_counts(
-        incidents, lookup, incident_columns=incident_columns, lookup_columns=lookup_columns
-    )
-    assert bag(counted) == bag(plain)
+    for salts in (1, 8):
+        counted = joined_counts(
+            incidents,
+            lookup,
+            incident_columns=incident_columns,
+            lookup_columns=lookup_columns,
+            salts=salts,
+        )
+        assert bag(counted) == bag(plain)
 
 
 @pytest.mark.parametrize("seed", range(3))
