@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,10 @@ def contingency_statistic(pairs: DataFrame, *, feature: str, label: str) -> Data
     """Pearson's chi-square statistic of two label columns, as one row.
 
     With cell counts ``o``, row totals ``r``, column totals ``c`` and ``n`` pairs the
-    statistic is ``n * (sum(o * o / (r * c)) - 1)``, so only occupied cells are needed
-    and nothing but counts is shuffled. There is no limit on distinct values. Pairs
-    with a null on either side are left out. No pairs give ``n_groups = 0`` and nulls.
+    statistic is ``n * (sum(o * o / (r * c)) - 1)``, so only occupied cells are needed,
+    the pairs are read once and nothing but counts is shuffled. There is no limit on
+    distinct values. Pairs with a null on either side are left out. No pairs give
+    ``n_groups = 0`` and nulls.
     """
     cells = (
         pairs.select(F.col(feature).alias("f"), F.col(label).alias("l"))
@@ -26,38 +27,46 @@ def contingency_statistic(pairs: DataFrame, *, feature: str, label: str) -> Data
         .groupBy("f", "l")
         .agg(F.count(F.lit(1)).alias("o"))
     )
-    # The smallest partner marks one cell per row and column, which turns the two
-    # distinct counts below into plain conditional ones.
-    by_feature = cells.groupBy("f").agg(
-        F.sum("o").alias("feature_total"), F.min("l").alias("first_label")
-    )
-    by_label = cells.groupBy("l").agg(
-        F.sum("o").alias("label_total"), F.min("f").alias("first_feature")
-    )
-    share = (
-        F.col("o").cast("double")
-        * F.col("o")
-        / (F.col("feature_total").cast("double") * F.col("label_total"))
-    )
-    totals = (
-        cells.join(by_feature, "f")
-        .join(by_label, "l")
-        .agg(
-            F.coalesce(F.sum("o"), F.lit(0)).alias("n_groups"),
-            F.count_if(F.col("f") == F.col("first_feature")).alias("n_labels"),
-            F.count_if(F.col("l") == F.col("first_label")).alias("n_features"),
-            F.count(F.lit(1)).alias("n_cells"),
-            F.sum(share).alias("share"),
+    # Both windows hold counted cells: one per value of the other side. The smallest
+    # partner marks one cell per row and column of the table, which turns the distinct
+    # counts below into plain conditional ones.
+    of_feature, of_label = Window.partitionBy("f"), Window.partitionBy("l")
+    shares = (
+        cells.withColumns(
+            {
+                "feature_total": F.sum("o").over(of_feature),
+                "first_of_feature": F.col("l") == F.min("l").over(of_feature),
+            }
+        )
+        .withColumns(
+            {
+                "label_total": F.sum("o").over(of_label),
+                "first_of_label": F.col("f") == F.min("f").over(of_label),
+            }
         )
+        .withColumn(
+            "share",
+            F.col("o").cast("double")
+            * F.col("o")
+            / (F.col("feature_total").cast("double") * F.col("label_total")),
+        )
+    )
+    totals = shares.agg(
+        F.coalesce(F.sum("o"), F.lit(0)).alias("n_groups"),
+        F.count_if("first_of_feature").alias("n_features"),
+        F.count_if("first_of_label").alias("n_labels"),
+        F.count(F.lit(1)).alias("n_cells"),
+        F.sum("share").alias("share"),
     )
     occupied = F.col("n_groups") > 0
+    freedom = (F.col("n_features") - 1) * (F.col("n_labels") - 1)
+    # A constant side makes the statistic 0, whatever rounding leaves of the sum.
+    statistic = F.when(freedom == 0, 0.0).otherwise(
+        F.greatest(F.col("n_groups") * (F.col("share") - 1), F.lit(0.0))
+    )
     return totals.select(
-        F.when(
-            occupied, F.greatest(F.col("n_groups") * (F.col("share") - 1), F.lit(0.0))
-        ).alias("statistic"),
-        F.when(occupied, (F.col("n_features") - 1) * (F.col("n_labels") - 1)).alias(
-            "degrees_of_freedom"
-        ),
+        F.when(occupied, statistic).alias("statistic"),
+        F.when(occupied, freedom).alias("degrees_of_freedom"),
         "n_groups",
         "n_features",
         "n_labels",
