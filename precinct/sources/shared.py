@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Application -> (folder the session named, checkpoint folder Spark made in it).
+_named: dict[str, tuple[str, str]] = {}
+
+
+def _is_local(master: str) -> bool:
+    """One process; ``local-cluster[...]`` has executors with folders of their own."""
+    return master == "local" or master.startswith("local[")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where neither that nor a
-    checkpoint folder is set, local mode makes a folder of its own; a real cluster gets
-    an error, because a folder on one machine would be lost with it.
+    The cluster names it in ``spark.checkpoint.dir``, and whatever folder was set before
+    gives way to it. Where neither that nor a checkpoint folder is set, local mode makes a
+    folder of its own and removes it at exit; a real cluster gets an error, because a
+    folder on one machine would be lost with it.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if folder:
-        if current is None or urlparse(folder).path not in current:
+        if current is None or _named.get(context.applicationId) != (folder, current):
             context.setCheckpointDir(folder)
+            _named[context.applicationId] = (folder, context.getCheckpointDir())
     elif current is None:
-        if not context.master.startswith("local"):
+        if not _is_local(context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="precinct-"))
+        own = tempfile.mkdtemp(prefix="precinct-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 
@@ -34,6 +47,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this session wrote to its checkpoint folder; call it before the end.
+
+    Tables and DataFrames that read from there no longer work afterwards.
+    """
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written copy."""
     shared_dir(df.sparkSession)
