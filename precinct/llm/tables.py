@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import precinct
 from precinct.sources.shared import scratch_path
 
 # Words of the n-gram operators: runs of digits, lower-case letters and everything beyond
@@ -19,6 +24,27 @@ WORD_BYTES = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The driver's file server hands it out, so it needs no folder the executors share. It
+    does so as executors come, which is why the file stays until the driver ends.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = Path(precinct.__file__).parent
+        folder = tempfile.mkdtemp(prefix="precinct-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        skip = shutil.ignore_patterns("__pycache__")
+        shutil.copytree(package, f"{folder}/all/{package.name}", ignore=skip)
+        made = shutil.make_archive(f"{folder}/{package.name}-workers", "zip", f"{folder}/all")
+        spark.sparkContext.addPyFile(made)
+        _shipped.add(application)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the Parquet copy.
 
@@ -55,6 +81,7 @@ def map_texts(
     ``row`` packs the columns to keep into one struct, so that they come through Python
     untouched and cannot clash with the result columns, whatever their names.
     """
+    ship_package(docs.sparkSession)
     packed = docs.select(
         F.struct(*[column(name) for name in keep]).alias("row"), text_of(docs).alias("text"), *extra
     )

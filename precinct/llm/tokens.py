@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precinct.llm.tables import column, staged, text_of
+from precinct.llm.tables import column, ship_package, staged, text_of
 
 CACHE_SCHEMA = "digest string, n_tokens bigint"
 # Pieces whose counts a worker remembers; the memory starts again when it is full.
@@ -140,6 +140,7 @@ def count_tokens(
     empty table gives none.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     version = tokenizer_digest(tokenizer)
     text = F.coalesce(text_of(docs), F.lit(""))
     digest = content_digest(text, version)
