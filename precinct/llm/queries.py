@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precinct.llm import decontaminate, mixing, near_duplicates, quality, secrets, tokens
+from precinct.llm import (
+    decontaminate,
+    language,
+    mixing,
+    near_duplicates,
+    quality,
+    secrets,
+    tokens,
+    toxicity,
+)
 from precinct.sources.shared import scratch_path
 
 
@@ -41,6 +50,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    net = language.learn(documents.where(~language.is_held_out(F.col("doc_id"))))
+    return language.identify(documents, net).select(
+        "row.doc_id",
+        language.is_held_out(F.col("row.doc_id")).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts, _ = quality.quality_verdicts(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -61,6 +81,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    chain = toxicity.learn(documents, labels, ("low_quality", "toxic"))
+    scored = toxicity.toxicity(documents, chain)
+    p_toxic = F.coalesce(F.get("probabilities", F.lit(1)), F.lit(0.0))
+    return scored.select(
+        "row.doc_id",
+        F.coalesce(F.get("probabilities", F.lit(0)), F.lit(0.0)).alias("p_low_quality"),
+        p_toxic.alias("p_toxic"),
+        (p_toxic >= 0.5).alias("toxic"),
+    )
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     counts = [
@@ -79,8 +113,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontaminate": op2_decontaminate,
     "op4_mixing": op4_mixing,
+    "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_secret_scans": op10_secret_scans,
 }
 
