@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precinct.llm import (
+    chat,
     decontaminate,
     language,
     mixing,
@@ -16,6 +17,7 @@ from precinct.llm import (
     secrets,
     tokens,
     toxicity,
+    urls,
 )
 from precinct.sources.shared import scratch_path
 
@@ -44,12 +46,77 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A conversation whose texts are control strings of a common template.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    return chat.conversation_digests(chat.format_windows(turns.unionByName(probe)))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     taken = F.col("copies") * F.col("size")
     return mixed.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def dated_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as captures: each fetched on a day of 2024 that follows from its id."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 366).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+
+
+def list_events(captures: DataFrame) -> DataFrame:
+    """Dated list events that follow from the hosts of the captures by their digests.
+
+    Half of the hosts are blocked from some day on and a third of those are removed again 60
+    days later; a quarter has the path ``/en`` allowed for 120 days; the parent domain of a
+    host is blocked for 20 days after day 200.
+    """
+    hosts = captures.select(urls.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    digest = hosts.withColumn("d", F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("long"))
+
+    def day(offset: Column) -> Column:
+        return F.date_add(F.lit("2024-01-01").cast("date"), offset.cast("int"))
+
+    start = F.col("d") % 300
+    blocked, allowed = F.col("d") % 2 == 0, F.col("d") % 4 == 0
+    domain = F.concat(F.lit("d:"), "host")
+    path = F.concat(F.lit("p:"), "host", F.lit("/en"))
+    parent = F.concat(F.lit("d:"), F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1))
+
+    def event(where: Column, kind: str, entry: Column, when: Column, action: str) -> DataFrame:
+        return digest.where(where).select(
+            F.lit(kind).alias("list"), entry.alias("entry"), when.alias("day"), F.lit(action).alias("action")
+        )
+
+    parts = [
+        event(blocked, "block", domain, day(start), "add"),
+        event(blocked & (F.col("d") % 3 == 0), "block", domain, day(start + 60), "remove"),
+        event(allowed, "allow", path, day(start + 30), "add"),
+        event(allowed, "allow", path, day(start + 150), "remove"),
+        event(parent != "d:", "block", parent, day(F.lit(200)), "add"),
+        event(parent != "d:", "block", parent, day(F.lit(220)), "remove"),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = dated_captures(spark, sf_dir)
+    judged = urls.filter_captures(captures, list_events(captures))
+    return judged.select(
+        "page_id", "url", "host", F.col("fetched").cast("string").alias("fetched"), "n_active", "verdict", "entry"
+    )
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     net = language.learn(documents.where(~language.is_held_out(F.col("doc_id"))))
@@ -112,7 +179,9 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontaminate": op2_decontaminate,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
+    "op5_url_filters": op5_url_filters,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
