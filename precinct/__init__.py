@@ -14,7 +14,7 @@ from precinct.plans.profile import (
     count_rows,
     distinct_values,
 )
-from precinct.plans.rates import joined_rate, per_head_rate
+from precinct.plans.rates import compare_with_top, joined_rate, per_head_rate
 from precinct.plans.trend import average_change, period_change, period_counts, trend
 from precinct.session import get_session
 from precinct.sources.files import read_area_lookup, read_incidents
@@ -31,6 +31,7 @@ __all__ = [
     "association",
     "average_change",
     "chi_square",
+    "compare_with_top",
     "count_distinct_values",
     "count_incidents",
     "count_rows",

@@ -2,14 +2,15 @@
 
     spark-submit --conf spark.checkpoint.dir=<shared folder> \\
         precinct/jobs/crime_claims.py --incidents <csv.gz> --lookup <csv.gz> \\
-        --staging <folder> --district <name>
+        --staging <folder> --output <folder> --district <name>
 
 1. Violent crime is increasing.
 2. The named district has more firearms incidents per head than any other.
 3. Firearms incidents are associated with drugs offences.
 
 The raw incidents are read once, rolled up and staged; the claims are checked on the
-counts.
+counts. Every result is written in full as Parquet, in a folder of its own below the output
+folder. Results that have one row or ten by definition are printed as well.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from precinct.plans.profile import (
     count_rows,
     distinct_values,
 )
-from precinct.plans.rates import joined_rate, per_head_rate
+from precinct.plans.rates import compare_with_top, joined_rate, per_head_rate
 from precinct.plans.trend import average_change, period_change, period_counts, trend
 from precinct.session import get_session
 from precinct.sources.files import read_area_lookup, read_incidents
@@ -39,6 +40,9 @@ from precinct.sources.staging import (
     stage_incident_counts,
 )
 
+# Results as long as the data: written, not printed.
+LONG = ("categories", "violent crime by month", "joined rate", "per-head rate")
+
 
 def report(incidents: DataFrame, lookup: DataFrame, *, district: str) -> dict[str, DataFrame]:
     """All results by name, in the order of the claims.
@@ -56,9 +60,13 @@ def report(incidents: DataFrame, lookup: DataFrame, *, district: str) -> dict[st
         "months": count_distinct_values(incidents, "period"),
         "violent crime by month": trend(incidents, categories=schemas.VIOLENT),
         "average monthly change": average_change(period_change(counts)),
+        "joined rate": joined,
         "joined rate, top 10": top_k(joined, by="cases_per_head", tie_break="district"),
         "joined rate, named district": joined.where(F.col("district") == district),
+        "joined rate, named district and top": compare_with_top(joined, district),
+        "per-head rate": per_head,
         "per-head rate, top 10": top_k(per_head, by="cases_per_head", tie_break="district"),
+        "per-head rate, named district and top": compare_with_top(per_head, district),
         "firearms and drugs by area": association(incidents, lookup, **sets, key="area_code"),
         "firearms and drugs by district": association(incidents, lookup, **sets, key="district"),
     }
@@ -69,6 +77,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--incidents", required=True, help="raw incident CSV with header")
     parser.add_argument("--lookup", required=True, help="raw lookup CSV without header")
     parser.add_argument("--staging", required=True, help="new folder for the Parquet copies")
+    parser.add_argument("--output", required=True, help="new folder for the results")
     parser.add_argument("--district", default="Birmingham")
     options = parser.parse_args(arguments)
 
@@ -83,8 +92,11 @@ def main(arguments: list[str] | None = None) -> None:
         district=options.district,
     )
     for title, result in results.items():
-        print(title)
-        result.show(50, truncate=False)
+        path = f"{options.output}/{title.replace(',', '').replace(' ', '_')}"
+        result.write.parquet(path)
+        print(f"{title}: {path}")
+        if title not in LONG:
+            spark.read.parquet(path).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precinct.operators.fanout import SALTS, salted_join
+
 
 def assemble_vector(df: DataFrame, columns: list[str], output: str = "vector") -> DataFrame:
     """Pack numeric columns into one vector column; rows with null or NaN are skipped."""
     return VectorAssembler(inputCols=columns, outputCol=output, handleInvalid="skip").transform(df)
 
 
-def contingency_statistic(pairs: DataFrame, *, feature: str, label: str) -> DataFrame:
+def contingency_statistic(
+    pairs: DataFrame, *, feature: str, label: str, salts: int = SALTS
+) -> DataFrame:
     """Pearson's chi-square statistic of two label columns, as one row.
 
     With cell counts ``o``, row totals ``r``, column totals ``c`` and ``n`` pairs the
     statistic is ``n * (sum(o * o / (r * c)) - 1)``, so only occupied cells are needed,
     the pairs are read once and nothing but counts is shuffled. There is no limit on
-    distinct values. Pairs with a null on either side are left out. No pairs give
-    ``n_groups = 0`` and nulls.
+    distinct values. A label that most cells have is absorbed by partial aggregates, and
+    spread over ``salts`` tasks in the join with its total; a feature is absorbed the same
+    way. Pairs with a null on either side are left out. No pairs give ``n_groups = 0`` and
+    nulls.
     """
     cells = (
         pairs.select(F.col(feature).alias("f"), F.col(label).alias("l"))
@@ -27,36 +33,23 @@ def contingency_statistic(pairs: DataFrame, *, feature: str, label: str) -> Data
         .groupBy("f", "l")
         .agg(F.count(F.lit(1)).alias("o"))
     )
-    # Both windows hold counted cells: one per value of the other side. The smallest
-    # partner marks one cell per row and column of the table, which turns the distinct
-    # counts below into plain conditional ones.
-    of_feature, of_label = Window.partitionBy("f"), Window.partitionBy("l")
-    shares = (
-        cells.withColumns(
-            {
-                "feature_total": F.sum("o").over(of_feature),
-                "first_of_feature": F.col("l") == F.min("l").over(of_feature),
-            }
-        )
-        .withColumns(
-            {
-                "label_total": F.sum("o").over(of_label),
-                "first_of_label": F.col("f") == F.min("f").over(of_label),
-            }
-        )
-        .withColumn(
-            "share",
-            F.col("o").cast("double")
-            * F.col("o")
-            / (F.col("feature_total").cast("double") * F.col("label_total")),
-        )
-    )
-    totals = shares.agg(
-        F.coalesce(F.sum("o"), F.lit(0)).alias("n_groups"),
-        F.count_if("first_of_feature").alias("n_features"),
-        F.count_if("first_of_label").alias("n_labels"),
+    # The smallest partner marks one cell per label, which turns the distinct count of the
+    # labels below into a plain conditional one.
+    labels = cells.groupBy("l").agg(F.sum("o").alias("c"), F.min("f").alias("first"))
+    joined = salted_join(cells, labels, "l", spread_by=["f"], salts=salts)
+    features = joined.groupBy("f").agg(
+        F.sum(F.col("o").cast("double") * F.col("o") / F.col("c")).alias("share"),
+        F.sum("o").alias("r"),
         F.count(F.lit(1)).alias("n_cells"),
-        F.sum("share").alias("share"),
+        F.count_if(F.col("f") == F.col("first")).alias("n_labels"),
+    )
+    zero = F.lit(0)
+    totals = features.agg(
+        F.coalesce(F.sum("r"), zero).alias("n_groups"),
+        F.count(F.lit(1)).alias("n_features"),
+        F.coalesce(F.sum("n_labels"), zero).alias("n_labels"),
+        F.coalesce(F.sum("n_cells"), zero).alias("n_cells"),
+        F.sum(F.col("share") / F.col("r")).alias("share"),
     )
     occupied = F.col("n_groups") > 0
     freedom = (F.col("n_features") - 1) * (F.col("n_labels") - 1)

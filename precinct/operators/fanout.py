@@ -20,9 +20,14 @@ from pyspark.sql import functions as F
 
 AREA = "area_name"
 COUNT = "n_incidents"
+# Tasks a hot key is spread over where AQE cannot split it.
+SALTS = 32
 
 
 def in_categories(categories: Sequence[str]) -> Column:
+    """Whether a row is of one of the categories. One name alone must be in a sequence too."""
+    if isinstance(categories, str):
+        raise TypeError(f"categories must be a sequence of names, not the string {categories!r}")
     return F.col("category").isin(list(categories))
 
 
@@ -80,14 +85,14 @@ def joined_counts(
     *,
     incident_columns: Sequence[str] = ("period",),
     lookup_columns: Sequence[str] = ("district", "population"),
-    salts: int = 1,
+    salts: int = SALTS,
 ) -> DataFrame:
     """The joined table as a bag: its distinct rows, with ``n_rows`` for how often.
 
     Holds exactly what ``incidents JOIN lookup USING (area_name)`` projected to the
     given columns holds. Repeats are counted, not written out, so an area adds at most
-    as many rows as it has distinct values on both sides. Raise ``salts`` for incident
-    columns with very many values in one area, such as the area code.
+    as many rows as it has distinct values on both sides. ``salts`` spreads an area with
+    very many values over that many tasks.
     """
     left = incident_counts(incidents, *incident_columns)
     right = (

@@ -70,3 +70,38 @@ def per_head_rate(
         )
         .withColumn("cases_per_head", ratio(F.col("tot_cases"), F.col("tot_population"), digits))
     )
+
+
+COMPARISON = (
+    "district string, rank bigint, rate double, top_district string, top_rate double, factor double"
+)
+
+
+def compare_with_top(
+    rates: DataFrame, district: str, *, rate: str = "cases_per_head"
+) -> DataFrame:
+    """How a named district stands against the one with the highest rate, as one row.
+
+    ``rank`` is one more than the number of districts with a higher rate, so equal rates
+    share a rank; of several top districts the first by name is given. ``factor`` is the top
+    rate over the district's own, null where that is 0. ``rates`` has one row per district. A
+    district that is not there, or has no rate, gives nulls beside the top.
+
+    Reads the named rate as a one-row result first; the rest is one aggregate.
+    """
+    named = rates.where((F.col("district") == district) & F.col(rate).isNotNull()).select(rate).first()
+    own = F.lit(named[0] if named else None).cast("double")
+    known = rates.where(F.col(rate).isNotNull())
+    top = known.agg(
+        F.min(F.struct((-F.col(rate)).alias("lowest"), F.col("district").alias("name"))).alias("top"),
+        F.count_if(F.col(rate) > own).alias("higher"),
+    )
+    top_rate = (-F.col("top.lowest")).cast("double")
+    return top.select(
+        F.lit(district).alias("district"),
+        F.when(own.isNotNull(), F.col("higher") + 1).alias("rank"),
+        own.alias("rate"),
+        F.col("top.name").alias("top_district"),
+        top_rate.alias("top_rate"),
+        F.try_divide(top_rate, own).alias("factor"),
+    )

@@ -11,7 +11,8 @@ INCIDENT_COUNTS = (
 AREA_LOOKUP = "district string, area_name string, population int"
 
 # Columns of the raw incident files, in file order. All are read as
-# strings: inference would turn the month into a timestamp and IDs into numbers.
+# strings: inference would turn the month into a timestamp and IDs into numbers. The
+# reader goes by the names in a file's header, not by this order.
 RAW_INCIDENT_COLUMNS = (
     "Crime ID",
     "Month",
@@ -25,7 +26,6 @@ RAW_INCIDENT_COLUMNS = (
     "Crime type",
     "Last outcome category",
 )
-RAW_INCIDENTS = ", ".join(f"`{name}` string" for name in RAW_INCIDENT_COLUMNS)
 
 # Raw incident column -> canonical column.
 INCIDENT_RENAMES = {

@@ -22,7 +22,13 @@ SESSION_CONF = {
 def get_session(
     app_name: str = "precinct", *, master: str | None = None, conf: dict[str, str] | None = None
 ) -> SparkSession:
-    """Return the running session, or create one with the settings above."""
+    """Return the running session as it is, or create one with the settings above.
+
+    A running session keeps its own time zone and settings; ``conf`` is for a new one.
+    """
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (
+    DateType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from precinct import schemas
 
@@ -24,13 +31,24 @@ def read_incidents(
     canonical (all strings, months as ``yyyy-MM``) either way. ``require_id`` drops
     incidents without an ID.
 
+    Columns are found by the names in the header, whatever their order, and others are left
+    out; a column that is missing is an error. The files of one call share one header: Spark
+    compares every file's header with the first one's and fails on a difference.
+
     A gzip file is read by one task however large it is; see ``stage_incidents``.
     """
-    reader = spark.read.option("header", True).option("delimiter", delimiter)
+    reader = (
+        spark.read.option("header", True).option("delimiter", delimiter).option("enforceSchema", False)
+    )
     if infer:
         raw = reader.option("inferSchema", True).csv(path)
     else:
-        raw = reader.schema(schemas.RAW_INCIDENTS).csv(path)
+        # Reading without a schema looks at the first line only, and types all as strings.
+        names = reader.csv(path).columns
+        raw = reader.schema(StructType([StructField(name, StringType()) for name in names])).csv(path)
+    missing = [name for name in schemas.INCIDENT_RENAMES if name not in raw.columns]
+    if missing:
+        raise ValueError(f"the incident files lack the columns {missing}")
     return canonical_incidents(raw, require_id=require_id)
 
 

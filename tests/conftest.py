@@ -12,6 +12,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
 from precinct.session import get_session  # noqa: E402
+from precinct.sources.shared import remove_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -28,9 +29,11 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_scratch(session)
     session.stop()
 
 
 @pytest.fixture(scope="session")
 def sf_dir() -> str:
     return os.environ.get("PRECINCT_SF_DIR", "/root/testdata/sf0.001")
+

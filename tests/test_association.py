@@ -7,11 +7,10 @@ import pytest
 from pyspark.ml.stat import ChiSquareTest
 
 from helpers import A, B, bag, incidents_of, lookup_of, plain_join, random_tables, sql_set
-from precinct.functions.tails import chi_square_tail
 from precinct.operators.contingency import assemble_vector, contingency_statistic
 from precinct.operators.fanout import lookup_districts
 from precinct.plans import association as module
-from precinct.plans.association import association, chi_square, paired_counts
+from precinct.plans.association import association, chi_square, chi_square_tail, paired_counts
 
 
 def pairs_of(spark, pairs):
@@ -110,13 +109,13 @@ def test_statistic_equals_brute_force_and_spark_ml(spark, seed):
     ml = ChiSquareTest.test(vectors, "vector", "left_count", flatten=True).first()
     assert ours.statistic == pytest.approx(ml.statistic, abs=1e-9)
     tested = chi_square(frame).first()
-    assert tested.p_value == ml.pValue
+    assert tested.p_value == pytest.approx(ml.pValue, abs=1e-12)
     assert tested.associated == (ml.pValue < 0.05)
     assert (tested.n_left, tested.n_right) == (
         len({p[0] for p in pairs}),
         len({p[1] for p in pairs}),
     )
-    assert not tested.degenerate and not tested.approximate
+    assert not tested.degenerate
 
 
 def test_all_distinct_counts_are_degenerate(spark):
@@ -192,8 +191,8 @@ def test_more_than_10000_distinct_values(spark):
     )
     assert row.statistic == pytest.approx(statistic, rel=1e-9)
     assert row.degrees_of_freedom == 14_999 * 11
-    assert row.approximate and not row.degenerate
-    assert row.p_value == pytest.approx(chi_square_tail(statistic, 14_999 * 11))
+    assert not row.degenerate
+    assert row.p_value == pytest.approx(chi_square_tail(spark, statistic, 14_999 * 11))
 
 
 def test_more_than_10000_values_against_a_constant(spark):
@@ -202,36 +201,37 @@ def test_more_than_10000_values_against_a_constant(spark):
     )
     row = chi_square(frame).first()
     assert (row.statistic, row.degrees_of_freedom, row.p_value) == (0.0, 0, 1.0)
-    assert row.approximate and row.degenerate
-
-
-@pytest.mark.parametrize("limit", ["MAX_CELLS", "MAX_TABLE"])
-def test_too_large_a_table_takes_the_distributed_form(spark, monkeypatch, limit):
-    rng = random.Random(3)
-    frame = pairs_of(spark, [(rng.randrange(9), rng.randrange(9)) for _ in range(300)])
-    exact = chi_square(frame).first()
-    monkeypatch.setattr(module, limit, 10)
-    approximate = chi_square(frame).first()
-    assert approximate.approximate and not exact.approximate
-    assert approximate.statistic == pytest.approx(exact.statistic)
-    assert approximate.p_value == pytest.approx(exact.p_value, abs=1e-3)
+    assert row.degenerate
 
 
 @pytest.mark.parametrize("freedom", [5_000, 10_000, 40_000])
 @pytest.mark.parametrize("deviations", [-3, -1, 0, 0.5, 2, 4])
-def test_tail_matches_the_power_series(freedom, deviations):
+def test_tail_matches_the_power_series(spark, freedom, deviations):
     statistic = freedom + deviations * math.sqrt(2 * freedom)
     a, x = freedom / 2, statistic / 2
     below = math.fsum(
         math.exp((a + i) * math.log(x) - x - math.lgamma(a + i + 1)) for i in range(20_000)
     )
-    assert chi_square_tail(statistic, freedom) == pytest.approx(1 - below, abs=1e-5)
+    assert chi_square_tail(spark, statistic, freedom) == pytest.approx(1 - below, abs=1e-6)
+
+
+def test_tail_at_the_edges(spark):
+    assert chi_square_tail(spark, 0.0, 0) == 1.0
+    assert chi_square_tail(spark, 0.0, 10_000) == pytest.approx(1.0)
+    assert chi_square_tail(spark, 1e9, 10_000) == 0.0
+    assert chi_square_tail(spark, 1e9, 10**9) == pytest.approx(0.5, abs=1e-4)
 
 
-def test_tail_at_the_edges():
-    assert chi_square_tail(0.0, 0) == 1.0
-    assert chi_square_tail(0.0, 10_000) == pytest.approx(1.0)
-    assert chi_square_tail(1e9, 10_000) == 0.0
+@pytest.mark.parametrize("seed", range(3))
+def test_statistic_does_not_depend_on_salts(spark, seed):
+    rng = random.Random(seed)
+    frame = pairs_of(spark, [(0 if rng.random() < 0.9 else rng.randrange(9), rng.randrange(40)) for _ in range(300)])
+    results = [
+        contingency_statistic(frame, feature="right_count", label="left_count", salts=salts).first()
+        for salts in (1, 7, 32)
+    ]
+    assert len({r.n_labels for r in results}) == 1
+    assert all(r.statistic == pytest.approx(results[0].statistic, rel=1e-12) for r in results)
 
 
 def test_association_runs_both_steps(spark):

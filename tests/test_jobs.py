@@ -82,7 +82,7 @@ def test_report_matches_a_count_by_hand(spark, files):
     assert results["firearms and drugs by district"].first().n_groups == 3
 
 
-def test_job_prints_every_result(spark, files, tmp_path, capsys):
+def test_job_prints_and_writes_every_result(spark, files, tmp_path, capsys):
     main(
         [
             "--incidents",
@@ -91,9 +91,38 @@ def test_job_prints_every_result(spark, files, tmp_path, capsys):
             files["lookup"],
             "--staging",
             str(tmp_path / "staging"),
+            "--output",
+            str(tmp_path / "output"),
         ]
     )
     printed = capsys.readouterr().out
     assert "average monthly change" in printed
     assert "firearms and drugs by district" in printed
     assert "Birmingham" in printed
+    written = {path.name for path in (tmp_path / "output").iterdir()}
+    assert len(written) == 15
+    compared = spark.read.parquet(str(tmp_path / "output" / "joined_rate_named_district_and_top"))
+    assert compared.first().district == "Birmingham"
+
+
+def test_no_result_is_cut(spark, tmp_path):
+    months = [f"{2000 + i // 12}-{1 + i % 12:02d}" for i in range(180)]
+    header = ",".join(schemas.RAW_INCIDENT_COLUMNS)
+    lines = [header]
+    for i, month in enumerate(months):
+        values = {
+            "Crime ID": str(i),
+            "Month": month,
+            "LSOA code": "E1",
+            "LSOA name": "Area 1",
+            "Crime type": schemas.VIOLENT[0],
+        }
+        lines.append(",".join(values.get(name, "") for name in schemas.RAW_INCIDENT_COLUMNS))
+    incidents = gzip_text(tmp_path / "incidents.txt.gz", lines)
+    lookup = gzip_text(tmp_path / "lookup.gz", [lookup_line("Leeds", "Area 1", "9")])
+    output = tmp_path / "output"
+    main(
+        ["--incidents", incidents, "--lookup", lookup, "--staging", str(tmp_path / "s")]
+        + ["--output", str(output)]
+    )
+    assert spark.read.parquet(str(output / "violent_crime_by_month")).count() == 179

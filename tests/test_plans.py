@@ -8,13 +8,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from helpers import A, B, cases, final_plan, lookup_of
-from precinct.operators.fanout import salted_join
+from precinct.operators.contingency import contingency_statistic
+from precinct.operators.fanout import joined_counts, salted_join
 from precinct.operators.points import translate_points
 from precinct.plans.association import paired_counts
-
-QUERIES = contract.queries()
+from workload.catalog import QUERIES
 
 
 @contextlib.contextmanager
@@ -51,10 +50,10 @@ def test_each_table_is_scanned_once(spark, sf_dir, name):
     assert plan.count("supplier.parquet") == 1
 
 
-def test_contingency_reads_its_pairs_once_without_reuse(spark, sf_dir):
-    with conf(spark, exchange__reuse="false"):
-        plan = final_plan(QUERIES["contingency_statistic"](spark, sf_dir))
-    assert plan.count("orders.parquet") == 1 and "ReusedExchange" not in plan
+def test_contingency_scans_once_and_has_no_window(spark, sf_dir):
+    plan = final_plan(QUERIES["contingency_statistic"](spark, sf_dir))
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "orders.parquet" in line]
+    assert len(scans) == 1 and "Window" not in plan
 
 
 @pytest.mark.parametrize("name", ["rate_joined", "join_group_counts_district"])
@@ -92,6 +91,13 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "o_totalprice" not in schema and "o_orderdate" not in schema
 
 
+@pytest.mark.parametrize("name", ["rate_joined", "join_group_counts_area"])
+def test_status_filter_is_pushed(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    orders = next(line for line in plan.splitlines() if "orders.parquet" in line)
+    assert "Not(EqualTo(o_orderstatus,P))" in orders.split("PushedFilters: ")[1]
+
+
 def test_top_k_does_not_sort_everything(spark, sf_dir):
     plan = QUERIES["topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
@@ -114,6 +120,40 @@ def test_salting_spreads_a_hot_area(spark):
         assert sorted(plain.collect()) == sorted(salted.select(plain.columns).collect())
 
 
+def tasks_joining(df, hot: str) -> int:
+    """Tasks of the salted join that hold rows of a hot key, from the plan's own join."""
+    return df.where(f"{hot}").select(F.spark_partition_id()).distinct().count()
+
+
+def test_hot_label_of_a_table_is_spread(spark):
+    cells = spark.range(4_000).selectExpr("id AS f", "if(id % 100 = 0, id % 7 + 1, 0) AS l", "1L AS o")
+    labels = cells.groupBy("l").agg(F.sum("o").alias("c"))
+    with conf(spark, **NO_BROADCAST, adaptive__enabled="false", shuffle__partitions="16"):
+        joined = salted_join(cells, labels, "l", spread_by=["f"], salts=32)
+        assert tasks_joining(joined, "l = 0") > 8
+        pairs = cells.withColumnsRenamed({"f": "right_count", "l": "left_count"})
+        statistic = contingency_statistic(pairs, feature="right_count", label="left_count")
+        plan = statistic._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin \[l#\d+L?, salt#\d+\]", plan)
+
+
+def test_joined_counts_spread_a_hot_area(spark):
+    incidents = spark.range(3_000).selectExpr(
+        "cast(id AS string) AS incident_id", "concat('p', id) AS period", "'c' AS area_code",
+        "if(id % 3 > 0, 'hot', concat('n', id % 50)) AS area_name", "'a1' AS category",
+    )
+    lookup = lookup_of(spark, [("d", "hot", 1), ("d", "n1", 2)])
+    with conf(spark, **NO_BROADCAST, adaptive__enabled="false", shuffle__partitions="16"):
+        joined = joined_counts(incidents, lookup)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin \[area_name#\d+, salt#\d+\]", plan)
+        spread = incidents.groupBy("area_name", "period").count().withColumn(
+            "salt", F.pmod(F.hash("period"), F.lit(32))
+        ).repartition(16, "area_name", "salt")
+        assert tasks_joining(spread, "area_name = 'hot'") > 8
+        assert joined.agg(F.sum("n_rows")).first()[0] == 2_000 + incidents.where("area_name = 'n1'").count()
+
+
 def test_area_pairs_use_the_salted_join(spark):
     lookup = lookup_of(spark, [("d", "x", 1)])
     with conf(spark, **NO_BROADCAST):
@@ -139,6 +179,14 @@ def test_points_keep_every_incident_and_compare_text(spark):
     assert found == {"1": "LS1", "2": None, "3": None, "4": None}
 
 
+def test_repeated_point_keeps_one_row_per_incident(spark):
+    incidents = spark.createDataFrame(
+        [("1", "a", "b")], "incident_id string, longitude string, latitude string"
+    )
+    points = spark.createDataFrame([("a", "b", "Z9"), ("a", "b", "A1"), ("a", "b", None)], POINTS)
+    assert [r.postcode for r in translate_points(incidents, points).collect()] == ["A1"]
+
+
 def test_hot_point_is_split_by_aqe(spark):
     incidents = spark.range(200_000).selectExpr(
         "uuid() AS incident_id",

@@ -5,7 +5,7 @@ import pytest
 from helpers import A, bag, cases, lookup_of, plain_join, random_tables, sql_set
 from precinct.operators.fanout import in_categories, joined_counts, lookup_districts
 from precinct.operators.ranking import top_k
-from precinct.plans.rates import joined_rate, per_head_rate
+from precinct.plans.rates import compare_with_top, joined_rate, per_head_rate
 
 
 def by_district(df):
@@ -125,3 +125,26 @@ def test_top_k_breaks_ties_by_key_and_puts_nulls_last(spark):
     assert [row.district for row in top] == ["d", "b"]
     everything = top_k(df, by="rate", tie_break="district").collect()
     assert [row.district for row in everything] == ["d", "b", "c", "e", "a"]
+
+
+RATES = "district string, cases_per_head double"
+
+
+def test_comparison_with_the_top(spark):
+    rates = spark.createDataFrame(
+        [("B", 4.0), ("A", 4.0), ("C", 2.0), ("D", 0.0), ("E", None)], RATES
+    )
+    rows = {name: tuple(compare_with_top(rates, name).first()) for name in "ABCDEX"}
+    assert rows["A"] == ("A", 1, 4.0, "A", 4.0, 1.0)
+    assert rows["B"] == ("B", 1, 4.0, "A", 4.0, 1.0)
+    assert rows["C"] == ("C", 3, 2.0, "A", 4.0, 2.0)
+    assert rows["D"] == ("D", 4, 0.0, "A", 4.0, None)
+    assert rows["E"] == ("E", None, None, "A", 4.0, None)
+    assert rows["X"] == ("X", None, None, "A", 4.0, None)
+    none = compare_with_top(spark.createDataFrame([], RATES), "A").collect()
+    assert [tuple(row) for row in none] == [("A", None, None, None, None, None)]
+
+
+def test_a_bare_string_is_no_category_set():
+    with pytest.raises(TypeError, match="sequence"):
+        in_categories("Drugs")

@@ -68,6 +68,32 @@ def test_other_delimiter(spark, tmp_path):
     assert read_incidents(spark, path, delimiter="\t").first().category == "Drugs"
 
 
+@pytest.mark.parametrize("infer", [False, True])
+def test_columns_are_found_by_name(spark, tmp_path, infer):
+    names = ["Notes", *reversed(schemas.RAW_INCIDENT_COLUMNS)]
+    values = {"Crime ID": "11", "Month": "2018-01", "LSOA code": "E01", "LSOA name": "Leeds 1"}
+    lines = [",".join(names), ",".join(values.get(name, "zz") for name in names)]
+    path = gzip_text(tmp_path / "other.gz", lines)
+    assert bag(read_incidents(spark, path, infer=infer), *CANONICAL) == [
+        ("11", "2018-01", "E01", "Leeds 1", "zz")
+    ]
+
+
+@pytest.mark.parametrize("infer", [False, True])
+def test_missing_column_is_an_error(spark, tmp_path, infer):
+    path = gzip_text(tmp_path / "short.gz", ["Crime ID,Month,LSOA code,LSOA name", "1,2018-01,E,L"])
+    with pytest.raises(ValueError, match="Crime type"):
+        read_incidents(spark, path, infer=infer)
+
+
+def test_files_with_different_headers_are_refused(spark, tmp_path):
+    one = gzip_text(tmp_path / "a.gz", [",".join(schemas.RAW_INCIDENT_COLUMNS), "1,2018-01,,,,,,E,N,Drugs,"])
+    names = list(reversed(schemas.RAW_INCIDENT_COLUMNS))
+    two = gzip_text(tmp_path / "b.gz", [",".join(names), ",Drugs,N,E,,,,,,2018-01,2"])
+    with pytest.raises(Exception, match="(?i)header"):
+        read_incidents(spark, [one, two]).collect()
+
+
 def lookup_line(district: str, area: str, population: str) -> str:
     values = {"district": district, "lsoa_name": area, "population": population}
     return ",".join(values.get(name, "") for name in schemas.RAW_AREA_LOOKUP_COLUMNS)
@@ -144,14 +170,21 @@ def test_lookup_staging_round_trip(spark, tmp_path):
 
 
 class FakeContext:
+    """Like Spark, makes a folder of its own in the one it is given."""
+
+    count = 0
+
     def __init__(self, master):
         self.master, self.folder = master, None
+        FakeContext.count += 1
+        self.applicationId = f"test-{FakeContext.count}"
 
     def getCheckpointDir(self):
         return self.folder
 
     def setCheckpointDir(self, folder):
-        self.folder = folder
+        FakeContext.count += 1
+        self.folder = f"{folder}/made-{FakeContext.count}"
 
 
 class FakeSession:
@@ -162,16 +195,24 @@ class FakeSession:
 
 def test_shared_folder_comes_from_the_session():
     session = FakeSession("yarn", {"spark.checkpoint.dir": "hdfs:///shared"})
-    assert shared.shared_dir(session) == "hdfs:///shared"
-    assert shared.scratch_path(session, "x").startswith("hdfs:///shared/x-")
+    folder = shared.shared_dir(session)
+    assert folder.startswith("hdfs:///shared/made-")
+    assert shared.shared_dir(session) == folder
+    assert shared.scratch_path(session, "x").startswith(f"{folder}/x-")
 
 
-def test_session_setting_goes_before_an_earlier_folder():
-    session = FakeSession("yarn", {"spark.checkpoint.dir": "hdfs:///shared"})
-    session.sparkContext.folder = "file:/tmp/other"
-    assert shared.shared_dir(session) == "hdfs:///shared"
-    session.sparkContext.folder = "hdfs://name:8020/shared/0b1c"
-    assert shared.shared_dir(session) == "hdfs://name:8020/shared/0b1c"
+@pytest.mark.parametrize(
+    ("named", "current"),
+    [
+        ("hdfs:///tmp", "file:/tmp/other/uuid"),
+        ("s3a://bucket", "file:/tmp/other/uuid"),
+        ("hdfs:///shared", "hdfs:///shared-old/1"),
+    ],
+)
+def test_session_setting_goes_before_an_earlier_folder(named, current):
+    session = FakeSession("yarn", {"spark.checkpoint.dir": named})
+    session.sparkContext.folder = current
+    assert shared.shared_dir(session).startswith(f"{named}/made-")
 
 
 def test_folder_of_the_context_is_kept_where_the_session_names_none():
@@ -183,10 +224,12 @@ def test_folder_of_the_context_is_kept_where_the_session_names_none():
 def test_cluster_without_shared_folder_is_an_error():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.shared_dir(FakeSession("spark://host:7077", {}))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(FakeSession("local-cluster[2,1,1024]", {}))
 
 
 def test_local_mode_makes_its_own_folder():
     session = FakeSession("local[2]", {})
     folder = shared.shared_dir(session)
-    assert Path(folder).is_dir()
+    assert Path(folder).parent.is_dir()
     assert shared.shared_dir(session) == folder

@@ -21,7 +21,12 @@ from precinct.operators.ranking import top_k
 from precinct.operators.series import previous_value
 from precinct.plans.association import association, chi_square, paired_counts
 from precinct.plans.profile import count_distinct_values, count_rows, distinct_values
-from precinct.plans.rates import joined_rate, joined_totals, per_head_rate
+from precinct.plans.rates import (
+    compare_with_top,
+    joined_rate,
+    joined_totals,
+    per_head_rate,
+)
 from precinct.plans.trend import average_change, period_change, period_counts, trend
 from precinct.sources.files import canonical_incidents, read_area_lookup, read_incidents
 from precinct.sources.shared import scratch_path
@@ -48,6 +53,7 @@ from workload.views import (
     incidents,
     shared_lookup,
     table,
+    with_dated,
     with_views,
 )
 
@@ -123,6 +129,14 @@ def scan_csv_header_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_incidents(spark, path)
 
 
+@query(CANONICAL_SQL)
+def scan_csv_reordered_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns in another order, and one more, are found by their names."""
+    raw = raw_incidents(spark, sf_dir).withColumn("Notes", F.lit("x"))
+    path = write_gzip_csv(raw.select(*sorted(raw.columns, reverse=True)), "incidents", header=True)
+    return read_incidents(spark, path)
+
+
 @query(with_views("""
 SELECT district, CAST(area_name AS VARCHAR) AS area_name, population
 FROM area_lookup WHERE population IS NOT NULL"""))
@@ -251,7 +265,7 @@ def join_group_counts_district(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- aggregates
 
 
-@query(with_views(f"""
+@query(with_dated(f"""
 SELECT period, count(*) AS "count" FROM identified
 WHERE category IN {SET1_SQL} GROUP BY period"""))
 def group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +280,7 @@ def group_sum_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_totals(kept, area_lookup(spark, sf_dir))
 
 
-@query(with_views("SELECT count(*) AS n_rows FROM identified"), name="count_rows")
+@query(with_dated("SELECT count(*) AS n_rows FROM identified"), name="count_rows")
 def count_rows_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_rows(dated(spark, sf_dir))
 
@@ -276,13 +290,13 @@ def count_rows_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_rows(area_lookup(spark, sf_dir).filter("population is not null"))
 
 
-@query(with_views("SELECT DISTINCT category FROM identified"), name="distinct_values")
+@query(with_dated("SELECT DISTINCT category FROM identified"), name="distinct_values")
 def distinct_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_values(dated(spark, sf_dir), "category")
 
 
 @query(
-    with_views(
+    with_dated(
         "SELECT count(*) AS n_distinct FROM (SELECT DISTINCT period FROM identified) AS periods"
     ),
     name="count_distinct_values",
@@ -305,24 +319,24 @@ def changes_sql(base: str = '"count"') -> str:
                   FROM lagged WHERE prev_count IS NOT NULL)"""
 
 
-@query(with_views(changes_sql() + ' SELECT period, "count", prev_count FROM lagged'))
+@query(with_dated(changes_sql() + ' SELECT period, "count", prev_count FROM lagged'))
 def window_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = period_counts(dated(spark, sf_dir), categories=SET1)
     return previous_value(counts, period="period", value="count", output="prev_count")
 
 
-@query(with_views(changes_sql() + " SELECT * FROM changes"))
+@query(with_dated(changes_sql() + " SELECT * FROM changes"))
 def pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_change(period_counts(dated(spark, sf_dir), categories=SET1))
 
 
-@query(with_views(changes_sql() + " SELECT round(avg(percentage_change), 6) AS average FROM changes"))
+@query(with_dated(changes_sql() + " SELECT round(avg(percentage_change), 6) AS average FROM changes"))
 def global_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = period_change(period_counts(dated(spark, sf_dir), categories=SET1))
     return changes.agg(F.round(F.avg("percentage_change"), 6).alias("average"))
 
 
-@query(with_views(changes_sql() + ' SELECT period, "count" FROM counts ORDER BY period'))
+@query(with_dated(changes_sql() + ' SELECT period, "count" FROM counts ORDER BY period'))
 def sort_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_counts(dated(spark, sf_dir), categories=SET1).orderBy("period")
 
@@ -400,20 +414,28 @@ def contingency_sql(pairs: str) -> str:
 
 
 def chi_square_sql(pairs: str) -> str:
-    """Adds the p-value: one minus the power series of the chi-square distribution."""
+    """Adds the p-value from the power series of the chi-square distribution.
+
+    Its largest term is number (statistic - df) / 2 or so, and terms fall off from there as a
+    normal density does, with half the statistic as variance. Forty deviations either side of
+    the peak hold everything, whatever its place.
+    """
     return contingency_sql(pairs) + """
-    , series AS (
-        SELECT sum(exp((degrees_of_freedom / 2 + i) * ln(statistic / 2) - statistic / 2
-                       - lgamma(degrees_of_freedom / 2 + i + 1))) AS below
-        FROM summary CROSS JOIN range(100000) AS terms(i)
-        WHERE degrees_of_freedom > 0 AND statistic > 0),
+    , peak AS (
+        SELECT *, degrees_of_freedom / 2 AS a, statistic / 2 AS x,
+               CAST(greatest(0, floor(statistic / 2 - degrees_of_freedom / 2)) AS BIGINT) AS top,
+               CAST(40 * sqrt(greatest(statistic, degrees_of_freedom, 1)) + 100 AS BIGINT) AS width
+        FROM summary WHERE degrees_of_freedom > 0 AND statistic > 0),
+      terms AS (
+        SELECT a, x, unnest(generate_series(greatest(0, top - width), top + width)) AS i FROM peak),
+      series AS (
+        SELECT sum(exp((a + i) * ln(x) - x - lgamma(a + i + 1))) AS below FROM terms),
       tested AS (
         SELECT round(statistic, 6) AS statistic, degrees_of_freedom,
                CASE WHEN degrees_of_freedom = 0 OR statistic = 0 THEN 1.0
                     ELSE round(greatest(1 - below, 0), 6) END AS p_value,
                n_groups, n_left, n_right,
-               n_left = n_groups OR n_right = n_groups OR degrees_of_freedom = 0 AS degenerate,
-               FALSE AS approximate
+               n_left = n_groups OR n_right = n_groups OR degrees_of_freedom = 0 AS degenerate
         FROM summary CROSS JOIN series)"""
 
 
@@ -455,15 +477,32 @@ def chi_square_district(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(result.select("statistic", "degrees_of_freedom", "p_value"))
 
 
+MANY_VALUES_SQL = """
+WITH pairs AS (SELECT l_orderkey AS right_count, CAST(l_quantity AS INTEGER) AS left_count
+               FROM lineitem)"""
+
+
+@query(chi_square_sql(MANY_VALUES_SQL) + """
+SELECT round(statistic, 3) AS statistic, degrees_of_freedom, round(p_value, 4) AS p_value,
+       n_groups, n_left, n_right, degenerate FROM tested""")
+def chi_square_many_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a value for every order on one side."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("right_count"), F.col("l_quantity").cast("int").alias("left_count")
+    )
+    result = chi_square(lines).drop("associated")
+    return result.withColumns({"statistic": F.round("statistic", 3), "p_value": F.round("p_value", 4)})
+
+
 # ---------------------------------------------------------------- whole analyses
 
 
-@query(with_views(changes_sql() + " SELECT * FROM changes ORDER BY period"))
+@query(with_dated(changes_sql() + " SELECT * FROM changes ORDER BY period"))
 def trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend(dated(spark, sf_dir), categories=SET1)
 
 
-@query(with_views(changes_sql() + """
+@query(with_dated(changes_sql() + """
 SELECT round(avg(percentage_change), 6) AS avg_percentage_change,
        avg(percentage_change) > 0 AS increasing FROM changes"""))
 def trend_average(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,7 +516,7 @@ def trend_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend(roll_up(identified(spark, sf_dir)), categories=SET1)
 
 
-@query(with_views(changes_sql(base="prev_count") + " SELECT * FROM changes"))
+@query(with_dated(changes_sql(base="prev_count") + " SELECT * FROM changes"))
 def trend_previous_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend(dated(spark, sf_dir), categories=SET1, base="previous")
 
@@ -529,6 +568,18 @@ def rate_joined_shared_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_rate(identified(spark, sf_dir), shared_lookup(spark, sf_dir), categories=SET1)
 
 
+@query(with_views(RATES_SQL + f"""
+, named AS (SELECT cases_per_head AS rate FROM rates WHERE district = '{NAMED_DISTRICT}'),
+  top AS (SELECT district AS top_district, cases_per_head AS top_rate FROM rates
+          WHERE cases_per_head IS NOT NULL ORDER BY cases_per_head DESC, district LIMIT 1)
+SELECT '{NAMED_DISTRICT}' AS district, rate, top_district, top_rate, top_rate / nullif(rate, 0) AS factor,
+       1 + (SELECT count(*) FROM rates WHERE cases_per_head > (SELECT rate FROM named)) AS rank
+FROM named CROSS JOIN top"""))
+def rate_compared_with_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = joined_rate(identified(spark, sf_dir), area_lookup(spark, sf_dir), categories=SET1)
+    return compare_with_top(rates, NAMED_DISTRICT)
+
+
 MAIN_DISTRICT_SQL = """
 main AS (SELECT area_name, district FROM (
   SELECT area_name, district,

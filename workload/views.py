@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SET1 = ("1-URGENT", "2-HIGH")
@@ -22,6 +22,7 @@ TABLES = {
         "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, "
         "o_orderpriority string"
     ),
+    "lineitem": "l_orderkey bigint, l_quantity double",
     "events": "event_id bigint, ts timestamp_ntz, event_type string",
 }
 
@@ -30,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def incidents(spark: SparkSession, sf_dir: str, condition: Column | None = None) -> DataFrame:
     """Orders as incidents. Pending ones lose their ID, so that there are nulls."""
     orders = table(spark, sf_dir, "orders")
+    if condition is not None:
+        orders = orders.where(condition)
     customer = table(spark, sf_dir, "customer")
     return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("incident_id"),
@@ -44,14 +47,12 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents(spark, sf_dir).where(F.col("incident_id").isNotNull())
+    """Incidents with an ID. The filter stands below the projection, as a scan can use it."""
+    return incidents(spark, sf_dir, (F.col("o_orderstatus") != "P") & F.col("o_orderkey").isNotNull())
 
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``identified`` without the area name, which saves the join with the customers.
-
-    Every order has a customer, so the rows are the same.
-    """
+    """Identified orders as incidents without an area name, which the trend never asks for."""
     return (
         table(spark, sf_dir, "orders")
         .where((F.col("o_orderstatus") != "P") & F.col("o_orderkey").isNotNull())
@@ -126,6 +127,13 @@ area_lookup AS (
   FROM customer
 )"""
 
+DATED_SQL = """
+identified AS (
+  SELECT o_orderkey AS incident_id, strftime(o_orderdate, '%Y-%m') AS period,
+         o_custkey AS area_code, o_orderpriority AS category
+  FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey IS NOT NULL
+)"""
+
 SET1_SQL = "('1-URGENT', '2-HIGH')"
 SET2_SQL = "('5-LOW')"
 
@@ -137,3 +145,8 @@ def with_views(body: str, lookup: str = AREA_LOOKUP_SQL, district: str = "r_name
         "joined AS (SELECT * FROM identified JOIN area_lookup USING (area_name) "
         f"WHERE population IS NOT NULL) {body.strip()}"
     )
+
+
+def with_dated(body: str) -> str:
+    """Prefix ``body`` with the orders as incidents without an area, as ``dated`` has them."""
+    return f"WITH {DATED_SQL.strip()} {body.strip()}"
