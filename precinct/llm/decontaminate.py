@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precinct.llm.tables import WORD_BYTES, column, map_texts, staged
+from precinct.llm.tables import WORD_BYTES, column, map_texts, staged, with_row
 
 WINDOW = 13
 # Words per automaton: about 13 nodes a word at most, below 300 MB in a Python worker.
@@ -203,8 +203,7 @@ def contamination(
         if found is None:
             found = map_texts(docs, keep, _scanner(shared, size, False), _RESULT)
         else:
-            row_type = found.schema["row"].dataType.simpleString()
-            found = found.mapInArrow(_scanner(shared, size, True), f"row {row_type}, {_RESULT}")
+            found = found.mapInArrow(_scanner(shared, size, True), with_row(found, _RESULT))
     n_hit = F.aggregate(
         "runs", F.lit(0).cast("bigint"), lambda n, r: n + r["last"] - r["first"] + 1
     )

@@ -13,6 +13,7 @@ from precinct.llm import (
     language,
     mixing,
     near_duplicates,
+    oracles,
     quality,
     secrets,
     tokens,
@@ -189,4 +190,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scans": op10_secret_scans,
 }
 
-ORACLES: dict[str, str] = {}
+# The others have none: tests hold op1, op4 and op7 to op9 against brute-force versions, and
+# op6 against held-out documents.
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": oracles.DECONTAMINATE,
+    "op3_chat_formatting": oracles.CHAT,
+    "op5_url_filters": oracles.URLS,
+    "op10_secret_scans": oracles.SECRETS,
+}

@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import precinct
 from precinct.sources.shared import scratch_path
@@ -69,6 +70,11 @@ def space_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def with_row(packed: DataFrame, result: str) -> StructType:
+    """The schema of ``row`` and the result columns; the row may have any names in it."""
+    return StructType([packed.schema["row"], *StructType.fromDDL(result).fields])
+
+
 def map_texts(
     docs: DataFrame,
     keep: Sequence[str],
@@ -85,5 +91,4 @@ def map_texts(
     packed = docs.select(
         F.struct(*[column(name) for name in keep]).alias("row"), text_of(docs).alias("text"), *extra
     )
-    row_type = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(function, f"row {row_type}, {result}")
+    return packed.mapInArrow(function, with_row(packed, result))
