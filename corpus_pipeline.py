@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 and read again as the next one's documents. All but the last return the columns they got.
 
 1. language: the language network, trained on the documents themselves, drops texts without
-   letters and texts it is less than half sure of.
+   letters and texts whose best language has a probability below 0.35.
 2. near duplicates: one document of each class of similar texts stays.
 3. decontamination: documents with a benchmark passage by the contamination rule go.
 4. secrets: secrets are replaced by a mark; every document stays.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from precinct.llm import decontaminate, language, mixing, near_duplicates, secrets
 from precinct.llm.tables import staged
 
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -303,5 +303,11 @@ def mix(
     return (
         with_source(measured, shifts)
         .withColumn("units", units)
-        .select("row", "size", "source_size", "target", copies(cap).alias("copies"))
+        .select(
+            "row",
+            "size",
+            "source_size",
+            "target",
+            F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(copies(cap)).alias("copies"),
+        )
     )

@@ -28,7 +28,7 @@ PREFIXES = (4, 5, 6, 7)
 FOLDS = 3
 # A word counts if chance explains how it is spread over the labels with odds of e^-EVIDENCE.
 EVIDENCE = 12.0
-STEPS = 80
+STEPS = 250
 PENALTY = 1e-4
 
 _words = re.compile(rb"[^\x00-\x26\x28-\x2F\x3A-\x60\x7B-\x7F]+")

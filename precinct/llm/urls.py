@@ -82,8 +82,12 @@ def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     Spark splits, both sides of the joins coming from a shuffle. A null URL or day, or a URL
     without a host, matches nothing; every capture keeps its row.
     """
-    url, fetched = column("url"), column("fetched")
-    targets = captures.select(url.alias("url"), fetched.cast("date").alias("fetched")).dropna().distinct()
+    packed = captures.select(
+        F.struct(*[column(c) for c in captures.columns]).alias("capture"),
+        column("url").alias("url"),
+        column("fetched").cast("date").alias("fetched"),
+    )
+    targets = packed.select("url", "fetched").dropna().distinct()
     keys = staged(targets, "targets").withColumn("entry", F.explode(list_keys(F.col("url"))))
     active = keys.join(staged(validity(events), "validity"), "entry").where(
         (F.col("fetched") >= F.col("since"))
@@ -96,19 +100,18 @@ def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
         active.groupBy("url", "fetched")
         .agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("best"))
         .select(
-            F.col("url").alias("judged"),
-            F.col("fetched").alias("judged_on"),
+            "url",
+            "fetched",
             F.struct("n", F.col("best.list").alias("verdict"), F.col("best.entry").alias("entry")).alias("found"),
         ),
         "verdicts",
     )
-    same = (url == F.col("judged")) & (fetched.cast("date") == F.col("judged_on"))
-    joined = captures.join(verdicts, same, "left")
+    joined = packed.join(verdicts, ["url", "fetched"], "left")
     results = {
-        "host": host_of(url),
+        "host": host_of(F.col("url")),
         "n_active": F.coalesce(F.col("found.n"), F.lit(0)).cast("long"),
         "verdict": F.coalesce(F.col("found.verdict"), F.lit("none")),
         "entry": F.col("found.entry"),
     }
-    others = [column(c) for c in captures.columns if c not in results]
+    others = [F.col("capture")[c].alias(c) for c in captures.columns if c not in results]
     return joined.select(*others, *[value.alias(name) for name, value in results.items()])

@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import pytest
+
+import brute
+from precinct.llm.mixing import in_order, mix
+
+
+def documents(spark, seed: int, n: int = 600):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        source = "hot" if rng.random() < 0.35 else rng.choice(["a", "b", "ä", "Z", None, "tiny"])
+        if source == "tiny" and rng.random() < 0.9:
+            source = "b"
+        words = min(4_000, int(rng.paretovariate(0.9) * 20))
+        rows.append((k, "wort " * words if rng.random() > 0.02 else rng.choice([None, "", " \n"]), source))
+    return rows, spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_targets_are_met_and_runs_agree(spark, seed):
+    rows, frame = documents(spark, seed)
+    mixed = mix(frame)
+    found = {r.row.doc_id: r for r in mixed.collect()}
+    size = {k: len(brute.SPACE.findall(text or "")) for k, text, _ in rows}
+    assert {k: r["size"] for k, r in found.items()} == size
+    sums, largest = defaultdict(int), defaultdict(int)
+    for k, _, source in rows:
+        sums[source] += size[k]
+    expected = brute.targets(dict(sums))
+    taken = defaultdict(int)
+    for k, _, source in rows:
+        r = found[k]
+        assert r.source_size == sums[source] and r.target == pytest.approx(expected[source])
+        assert 0 <= r.copies <= 3
+        taken[source] += r.copies * size[k]
+        largest[source] = max(largest[source], size[k])
+    for source, target in expected.items():
+        assert abs(taken[source] - target) <= max(0.02 * target, 40), source
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
+    again = {r.row.doc_id: r.copies for r in mix(frame.repartition(7)).collect()}
+    assert again == {k: r.copies for k, r in found.items()}
+
+
+def test_a_source_at_the_cap_takes_all_three_times(spark):
+    rows = [(1, "x " * 5, "a"), (2, "x " * 500, "b"), (3, "x " * 500, "c"), (4, "x", "a")]
+    found = mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    copies = {r.row.doc_id: r.copies for r in found}
+    assert copies[1] == copies[4] == 3
+    assert {r.row.doc_id: r.target for r in found}[1] == 18.0
+
+
+def test_trouble(trouble, nothing):
+    rows = mix(trouble, keep=trouble.columns).collect()
+    assert len(rows) == len(brute.TROUBLE)
+    assert all(r.row["size"] == "mine" for r in rows)
+    assert {r.copies for r in rows if r["size"] == 0} == {1}
+    pair = [r.copies for r in rows if r.row.doc_id == 1]
+    assert pair[0] == pair[1]
+    assert mix(nothing).count() == 0
+
+
+def test_places_follow_code_points(spark):
+    names = ["b", None, "a", "", "ä", "B", "z" * 50] + [f"s{k}" for k in range(60)]
+    frame = spark.createDataFrame([(n,) for n in names], "name string").repartition(5)
+    places = {r.name: r.place for r in in_order(frame, "name").collect()}
+    ordered = sorted(n for n in names if n is not None) + [None]
+    assert places == {name: k for k, name in enumerate(ordered)}

@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+import public_tokenizers
+from tokenizers import Tokenizer
+
+import brute
+from precinct.llm import tokens
+from precinct.sources.shared import scratch_path
+
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+SPECIAL = ["<|endoftext|>", "a  b", " \n x", "\t\t", "don't", "it's  ", " x", "日本 語", "é́ ", "\x1c x", "\x85 y", "🙂 🙂", "12 34", " ", "…  …", "　a b"]
+
+
+def whole(texts):
+    tokenizer = Tokenizer.from_file(JSON)
+    return [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_pieces_add_up_to_the_whole_text():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([*SPECIAL, "word", " ", "x"]) for _ in range(40)) for _ in range(300)]
+    assert tokens.counter(JSON)(texts) == whole(texts)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_counts_are_the_library_counts(spark, sf_dir, name):
+    path = public_tokenizers.path(name)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    if name.endswith(".json"):
+        tokenizer = Tokenizer.from_file(path)
+        expected = {k: len(tokenizer.encode(t, add_special_tokens=False).ids) for k, t in texts.items()}
+    else:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        expected = {k: len(model.encode(t)) for k, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = tokens.count_tokens(docs, path, scratch_path(spark, "cache")).collect()
+    assert {r.row.doc_id: r.n_tokens for r in rows} == expected
+    assert all(r.n_bytes == len(texts[r.row.doc_id].encode()) for r in rows)
+
+
+def test_cache_is_used_and_grows_by_misses_only(spark):
+    cache = scratch_path(spark, "cache")
+    schema = "doc_id bigint, text string"
+    first = spark.createDataFrame([(k, f"text {k % 3}") for k in range(9)], schema)
+    tokens.count_tokens(first, JSON, cache).collect()
+    assert spark.read.parquet(cache).count() == 3
+    # A poisoned count shows that hits are looked up, not encoded again.
+    digest = first.where("doc_id = 0").select(
+        tokens.content_digest(first["text"], tokens.tokenizer_digest(JSON))
+    ).first()[0]
+    assert digest in {r.digest for r in spark.read.parquet(cache).collect()}
+    fake = scratch_path(spark, "cache")
+    spark.createDataFrame([(digest, 77)] * 2, tokens.CACHE_SCHEMA).write.parquet(fake)
+    rows = {r.row.doc_id: r.n_tokens for r in tokens.count_tokens(first, JSON, fake).collect()}
+    assert rows[0] == rows[3] == 77 and rows[1] == whole(["text 1"])[0]
+    assert spark.read.parquet(fake).count() == 4
+    other = public_tokenizers.path("word_bpe_49k.json")
+    tokens.count_tokens(first, other, fake).collect()
+    assert spark.read.parquet(fake).count() == 7
+
+
+def test_trouble(spark, trouble, nothing):
+    rows = tokens.count_tokens(trouble, JSON, scratch_path(spark, "cache"), keep=trouble.columns).collect()
+    assert sorted((repr(r.row.doc_id), r.n_tokens) for r in rows) == sorted(
+        (repr(row[0]), n) for row, n in zip(brute.TROUBLE, whole([row[1] or "" for row in brute.TROUBLE]))
+    )
+    assert tokens.count_tokens(nothing, JSON, scratch_path(spark, "cache")).count() == 0
