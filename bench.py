@@ -3,7 +3,8 @@
     python bench.py              the registered queries at $BENCH_SF_DIR
     python bench.py --compare N  counted against plain joins, on N copies of the incidents,
                                  each with area codes of its own and a third of the rows
-                                 in one area
+                                 in one area; and a table whose label is one value in nine
+                                 cells of ten
 
 All queries run once to warm up the JVM, then each ``BENCH_RUNS`` times (default 3); the
 median counts. Results go to the noop sink, so every row is computed.
@@ -23,10 +24,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precinct.plans.association import paired_counts
+from precinct.operators.contingency import contingency_statistic
+from precinct.operators.fanout import joined_counts
+from precinct.plans.association import chi_square, paired_counts
 from precinct.plans.rates import joined_rate
 from precinct.session import get_session
-from precinct.sources.shared import scratch_path
+from precinct.sources.shared import remove_scratch, scratch_path
 from workload.catalog import QUERIES
 from workload.views import SET1, SET1_SQL, SET2, SET2_SQL, area_lookup, identified
 
@@ -46,6 +49,8 @@ HEADLINE = (
     "association_area",
     "association_district",
     "rate_joined_from_files",
+    "stage_rollup",
+    "point_postcodes",
 )
 
 JOINED = """
@@ -67,6 +72,16 @@ PLAIN_SQL = {
                        WHERE category IN {SET1_SQL} GROUP BY district)
         JOIN (SELECT district AS key, count(*) AS right_count FROM joined
               WHERE category IN {SET2_SQL} GROUP BY district) USING (key)""",
+    "joined_counts": """WITH joined AS (SELECT * FROM incidents JOIN area_lookup USING (area_name)
+                WHERE population IS NOT NULL)
+        SELECT period, district, population, count(*) AS n_rows FROM joined
+        GROUP BY period, district, population""",
+    "contingency": """
+        WITH cells AS (SELECT f, l, count(*) AS o FROM hot_pairs GROUP BY f, l),
+             totals AS (SELECT f, l, o, sum(o) OVER (PARTITION BY f) AS r,
+                               sum(o) OVER (PARTITION BY l) AS c FROM cells)
+        SELECT sum(o) * (sum(o * o / (CAST(r AS DOUBLE) * c)) - 1) AS statistic,
+               (count(DISTINCT f) - 1) * (count(DISTINCT l) - 1) AS degrees_of_freedom FROM totals""",
 }
 
 
@@ -119,6 +134,21 @@ def compare(spark: SparkSession, sf_dir: str, runs: int, copies: int) -> dict:
         "pairs_district_counted": lambda: paired_counts(incidents, lookup, **sets, key="district"),
         "pairs_district_plain": lambda: spark.sql(PLAIN_SQL["pairs_district"]),
     }
+    pairs = scratch_path(spark, "hot-pairs")
+    label = F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id") % 97)
+    spark.range(incidents.count()).select(
+        (F.xxhash64("id") % 2_000_000).alias("f"), label.alias("l")
+    ).write.parquet(pairs)
+    hot_pairs = spark.read.parquet(pairs)
+    hot_pairs.createOrReplaceTempView("hot_pairs")
+    named = {"feature": "f", "label": "l"}
+    forms |= {
+        "joined_counts_counted": lambda: joined_counts(incidents, lookup),
+        "joined_counts_plain": lambda: spark.sql(PLAIN_SQL["joined_counts"]),
+        "contingency_salted": lambda: contingency_statistic(hot_pairs, **named),
+        "contingency_windows": lambda: spark.sql(PLAIN_SQL["contingency"]),
+        "chi_square_salted": lambda: chi_square(hot_pairs, **named),
+    }
     times = medians(forms, runs)
     return {
         "metric": "counted_against_plain_join",
@@ -152,6 +182,7 @@ def main() -> None:
         result = compare(spark, sf_dir, runs, options.compare)
     else:
         result = headline(spark, sf_dir, runs)
+    remove_scratch(spark)
     spark.stop()
     print(json.dumps(result))
 
