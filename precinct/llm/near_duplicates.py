@@ -255,7 +255,7 @@ def near_duplicates(
     """Classes and links of documents whose n-gram sets have a Jaccard similarity of at
     least ``threshold``.
 
-    Returns one row per document: ``row`` (the columns in ``keep``), ``n_grams``, ``copy_id``
+    Returns one row per document: ``row`` (the columns in ``keep``, ``doc_id`` among them), ``n_grams``, ``copy_id``
     (smallest doc_id with the same n-grams), ``class_id`` (smallest doc_id among all that
     links connect), ``n_links`` (other documents it is similar to, exact copies included) and
     ``class_key`` (``document_key`` of one document of the class, by smallest doc_id).

@@ -260,6 +260,7 @@ def quality_verdicts(
 ) -> tuple[DataFrame, list[Rule]]:
     """Statistics, ``base_failed`` and ``kept`` of every document, and the rules learned.
 
+    ``keep`` names the columns to carry along in ``row``, ``doc_id`` among them.
     ``labels`` has doc_id and quality (1 good, 0 low; other values and nulls are ignored).
     Several labels of a document all count. Texts are read once: the statistics are staged,
     and both learning and the verdicts read those. Without usable labels the list is empty
