@@ -26,8 +26,8 @@ CAP = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Rates, hashes and shifts count in this unit: integers make sums exact in any order.
-UNIT = 1 << 24
-FAN = 64  # shifts tried in one pass
+UNIT = 1 << 20
+BUCKET = 10  # bits of a shift that the first of two passes leaves open
 LEVELS = 3
 MAX_STEPS = 60
 TOLERANCE = 1e-9
@@ -179,7 +179,7 @@ def _open_shift() -> Column:
     """The largest shift found so far that is open to the document's size."""
     return F.aggregate(
         "shifts",
-        F.lit(-2 * UNIT).cast("long"),
+        F.lit(-4 * UNIT).cast("long"),
         lambda most, s: F.when(F.col("size") <= s["limit"], F.greatest(most, s["shift"])).otherwise(most),
     )
 
@@ -194,61 +194,83 @@ def copies(cap: int = CAP) -> Column:
     return _whole(_open_shift(), cap)
 
 
-def _trial(shift: Column, cap: int) -> Column:
-    """Copies with one more shift, for documents it is open to."""
-    after = F.when(F.col("open"), F.greatest("before", shift)).otherwise(F.col("before"))
-    return _whole(after, cap)
-
-
 def search_shifts(documents: DataFrame, tilts: DataFrame, *, cap: int = CAP) -> DataFrame:
     """Add ``shifts`` to ``tilts``: (limit, shift) pairs, looser ones for smaller documents.
 
-    ``documents`` has one narrow row each: place, size and units (rate plus hash). The first
-    shift is the largest that keeps a source's tokens within its target. What is then missing
-    is less than one document; the next shift is for documents no larger than that gap, and
-    so on. Each pass tries ``FAN`` shifts of every source at once.
+    ``documents`` has one narrow row each: place, size and units (rate plus hash). A document
+    gains its c-th copy at the shift ``c * UNIT - units``, so the largest shift that keeps a
+    source's tokens within its target is a weighted quantile of those. It is found in two
+    passes: by buckets of shifts, then within the bucket that crosses the target. What is
+    still missing is less than one document; the next shift is for documents no larger than
+    that gap, and so on.
     """
     pair = "array<struct<limit:bigint,shift:bigint>>"
     found = staged(
-        tilts.select("*", F.array().cast(pair).alias("shifts"), F.lit((1 << 62)).alias("limit")),
+        tilts.select("*", F.array().cast(pair).alias("shifts"), F.lit(1 << 62).alias("limit")),
         "shifts",
     )
+    gains = F.array(*[F.lit(c * UNIT) - F.col("units") for c in range(1, cap + 1)])
+    upto = Window.partitionBy("place").orderBy(F.asc_nulls_first("step"))
+    so_far = F.sum("tokens").over(upto.rowsBetween(Window.unboundedPreceding, 0))
     for _ in range(LEVELS):
-        low, width = -UNIT, 2 * UNIT
-        ranges = found.withColumn("low", F.lit(low).cast("long"))
-        while width > 1:
-            step = -(-width // FAN)
-            tried = [F.col("low") + step * k for k in range(1, FAN + 1)]
-            rows = (
-                documents.join(ranges.select("place", "limit", "low", "shifts"), "place")
-                .withColumn("before", _open_shift())
-                .withColumn("open", F.col("size") <= F.col("limit"))
-            )
-            sums = rows.groupBy("place").agg(
-                F.array(*[F.sum(F.col("size") * _trial(shift, cap)) for shift in tried]).alias("sums")
-            )
-            fits = F.size(F.filter("sums", lambda t: t <= F.col("target")))
-            ranges = staged(
-                ranges.join(sums, "place").withColumn("low", F.col("low") + fits * step).drop("sums"),
-                "ranges",
-            )
-            width = step
-        chosen = ranges.withColumn(
-            "shifts",
-            F.array_append("shifts", F.struct(F.col("limit").alias("limit"), F.col("low").alias("shift"))),
-        ).drop("low")
-        sums = (
-            documents.join(chosen.select("place", "shifts"), "place")
+        rows = (
+            documents.join(found.select("place", "limit", "shifts"), "place")
+            .withColumn("before", _open_shift())
+            .withColumn("gains", F.when(F.col("size") <= F.col("limit"), F.filter(gains, _above)))
+        )
+        # Null stands for what a source takes before any further shift.
+        taken = rows.select("place", F.lit(None).cast("long").alias("step"), (F.col("size") * _whole(F.col("before"), cap)).alias("tokens"))
+        gained = rows.select("place", F.explode("gains").alias("step"), F.col("size").alias("tokens"))
+        coarse = staged(
+            taken.unionByName(gained.withColumn("step", F.shiftright("step", BUCKET)))
+            .groupBy("place", "step")
+            .agg(F.sum("tokens").alias("tokens")),
+            "buckets",
+        )
+        fits = F.col("sum") <= F.col("target")
+        targets = found.select("place", "target")
+        crossing = staged(
+            coarse.withColumn("sum", so_far)
+            .join(targets, "place")
             .groupBy("place")
-            .agg(F.sum(F.col("size") * copies(cap)).alias("taken"))
+            .agg(
+                F.coalesce(F.max(F.when(fits, F.col("sum"))), F.lit(0)).alias("below"),
+                F.min(F.when(~fits, F.col("step"))).alias("bucket"),
+            ),
+            "crossing",
+        )
+        inside = (
+            gained.join(crossing, "place")
+            .where(F.shiftright("step", BUCKET) == F.col("bucket"))
+            .groupBy("place", "step")
+            .agg(F.sum("tokens").alias("tokens"))
+            .withColumn("sum", so_far)
+            .join(targets, "place")
+            .join(crossing, "place")
+            .withColumn("sum", F.col("sum") + F.col("below"))
+            .where(fits)
+            .groupBy("place")
+            .agg(F.max("step").alias("step"), F.max("sum").alias("sum"))
         )
-        gap = F.floor(F.col("target") - F.col("taken")).cast("long")
+        start = F.shiftleft("bucket", BUCKET) - 1
+        shift = F.coalesce("step", start, F.lit(1 << 40)).cast("long")
         found = staged(
-            chosen.join(sums, "place").withColumn("limit", gap).drop("taken"), "shifts"
+            found.join(crossing, "place")
+            .join(inside, "place", "left")
+            .select(
+                *tilts.columns,
+                F.array_append("shifts", F.struct("limit", shift.alias("shift"))).alias("shifts"),
+                F.floor(F.col("target") - F.coalesce("sum", "below")).cast("long").alias("limit"),
+            ),
+            "shifts",
         )
     return found.drop("limit")
 
 
+def _above(shift: Column) -> Column:
+    return shift > F.col("before")
+
+
 def mix(
     docs: DataFrame,
     *,
