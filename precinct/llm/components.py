@@ -20,7 +20,10 @@ def _star(edges: DataFrame, *, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges
-    smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    # Staged, so that the join has a shuffle of its own on either side and can be split.
+    smallest = staged(
+        both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "smallest"
+    )
     linked = both.join(smallest, "a")
     if large:
         linked = linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
