@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precinct.llm.near_duplicates import grams
 from precinct.llm.tables import column, map_texts, text_of
 
 BUCKETS = 1 << 17
@@ -26,6 +27,8 @@ MAX_LABELLED = 8_000
 # Beginnings of words, in bytes, that count as features of their own: insults are inflected.
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 3
+# Texts count as near copies from this Jaccard similarity of their 5-word n-grams on.
+ALIKE = 0.8
 # A word counts if chance explains how it is spread over the labels with odds of e^-EVIDENCE.
 EVIDENCE = 12.0
 STEPS = 250
@@ -56,27 +59,53 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(score, -30, 30))))
 
 
-def unlike(sets: list[np.ndarray], bands: int = 8, rows: int = 3) -> list[int]:
-    """One document of each group of near copies, by bands of minimum hashes.
-
-    Copies of one text repeat its label, noise included, and would pass for evidence.
+def unlike(
+    sets: list[np.ndarray],
+    labels: Sequence[tuple] | None = None,
+    *,
+    alike: float = ALIKE,
+    bands: int = 8,
+    rows: int = 3,
+) -> list[int]:
+    """One document of each group of near copies with the same labels.
+
+    Copies of one text repeat its label, noise included, and would pass for evidence. A
+    document goes only if a kept one with its labels has a Jaccard similarity of at least
+    ``alike``, counted on the two sets; bands of minimum hashes only say whom to compare
+    (99.7 % of pairs at 0.8 share one). ``sets`` are sorted and distinct.
     """
     factors = np.random.default_rng(11).integers(0, 1 << 62, bands * rows, dtype=np.uint64) * 2 + 1
-    seen: set = set()
+    seen: dict[tuple, list[int]] = {}
     kept = []
-    for k, buckets in enumerate(sets):
-        if len(buckets):
-            mixed = (buckets.astype(np.uint64) + np.uint64(1))[:, None] * factors
-            lowest = (mixed ^ (mixed >> np.uint64(29))).min(axis=0).reshape(bands, rows)
-            keys = {(band, *map(int, values)) for band, values in enumerate(lowest)}
+    for k, own in enumerate(sets):
+        label = tuple(labels[k]) if labels is not None else ()
+        if len(own):
+            lowest = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+            for start in range(0, len(own), 4096):
+                part = own[start : start + 4096].astype(np.uint64)
+                mixed = (part + np.uint64(1))[:, None] * factors
+                np.minimum(lowest, (mixed ^ (mixed >> np.uint64(29))).min(axis=0), out=lowest)
+            keys = [
+                (label, band, *map(int, values)) for band, values in enumerate(lowest.reshape(bands, rows))
+            ]
         else:
-            keys = {()}
-        if seen.isdisjoint(keys):
-            kept.append(k)
-        seen |= keys
+            keys = [(label,)]
+        if any(_similar(own, sets[j], alike) for j in sorted({j for key in keys for j in seen.get(key, ())})):
+            continue
+        kept.append(k)
+        for key in keys:
+            seen.setdefault(key, []).append(k)
     return kept
 
 
+def _similar(one: np.ndarray, two: np.ndarray, alike: float) -> bool:
+    less, more = sorted((len(one), len(two)))
+    if less < alike * more:
+        return False
+    shared = len(np.intersect1d(one, two, assume_unique=True))
+    return shared >= alike * (less + more - shared) - 1e-9
+
+
 def telling(index: np.ndarray, owner: np.ndarray, truth: np.ndarray) -> np.ndarray:
     """Which buckets are spread over the labels in a way that chance does not explain.
 
@@ -148,9 +177,14 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) ->
 def _hasher():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [features(value.as_py()) for value in batch["text"]]
+            sets, copies = [], []
+            for value in batch["text"]:
+                text = value.as_py()
+                sets.append(features(text))
+                copies.append(np.unique(grams(text).astype(np.uint32)).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch["row"], pa.array(sets, pa.list_(pa.int32()))], names=["row", "buckets"]
+                [batch["row"], *[pa.array(x, pa.list_(pa.int32())) for x in (sets, copies)]],
+                names=["row", "buckets", "grams"],
             )
 
     return run
@@ -166,8 +200,9 @@ def learn(
     """Fit the chain on ``labels`` (doc_id and a 0/1 column per category) and their texts.
 
     At most ``max_labelled`` labelled documents are used, those with the smallest hash of
-    their id; labels with a null are left out. The word buckets of those documents are what
-    the driver holds, not their texts. Without labels the chain is empty.
+    their id; labels with a null are left out. The word buckets of those documents and the
+    hashes of their n-grams are what the driver holds, not their texts. Of near copies with
+    the same labels one is used (``unlike``). Without labels the chain is empty.
     """
     known = labels.select(
         column("doc_id").alias("doc_id"), *[column(c).cast("int").alias(c) for c in categories]
@@ -181,21 +216,25 @@ def learn(
         F.broadcast(sample.withColumn("fold", F.pmod(hashed, F.lit(FOLDS)))), "doc_id"
     )
     found = (
-        map_texts(joined, ("doc_id", "fold", *categories), _hasher(), "buckets array<int>")
-        .orderBy("row", "buckets")
+        map_texts(joined, ("doc_id", "fold", *categories), _hasher(), "buckets array<int>, grams array<int>")
+        .orderBy("row", "buckets", "grams")
         .limit(2 * max_labelled)
-        .select("row.*", "buckets")
+        .select("row.*", "buckets", "grams")
         .toArrow()
     )
     if not found.num_rows:
         return []
-    lists = found["buckets"].combine_chunks()
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    chosen = unlike(sets)
-    truth = np.column_stack([found[c].to_numpy() for c in categories])[chosen]
+
+    def arrays(name: str) -> list[np.ndarray]:
+        lists = found[name].combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    sets = arrays("buckets")
+    truth = np.column_stack([found[c].to_numpy() for c in categories])
+    chosen = unlike([copy.view(np.uint32) for copy in arrays("grams")], truth.tolist())
     folds = found["fold"].to_numpy()[chosen]
-    return fit_chain([sets[k] for k in chosen], truth, folds)
+    return fit_chain([sets[k] for k in chosen], truth[chosen], folds)
 
 
 def _scorer(chain):

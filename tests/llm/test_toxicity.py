@@ -67,6 +67,34 @@ def test_near_copies_count_once():
     assert toxicity.unlike([base, near, base, other, empty, empty]) == [0, 3, 4]
 
 
+def test_unrelated_documents_all_stay():
+    # Any two have a Jaccard similarity of about 0.1; bands of 3 minimum hashes alone drop hundreds.
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(500, 90, replace=False)).astype(np.int32) for _ in range(3000)]
+    assert toxicity.unlike(sets) == list(range(3000))
+
+
+def test_copies_with_other_labels_stay():
+    one, other = np.arange(200, dtype=np.int32), np.arange(300, 500, dtype=np.int32)
+    labels = [(0, 0), (0, 1), (0, 0), (0, 1), (0, 1)]
+    assert toxicity.unlike([one, one, one, one, other], labels) == [0, 1, 4]
+
+
+def test_the_chain_is_fitted_on_all_but_copies(spark, monkeypatch):
+    # Few words, so that the texts have the same ones in another order.
+    rng = random.Random(6)
+    words = [f"word{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(300)]
+    texts += [texts[0] + " end"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2, int(k in (0, 304))) for k in range(305)], LABELS)
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda sets, truth, folds: fitted.append(truth))
+    toxicity.learn(docs, labels, ("rude", "toxic"))
+    # Of document 0 and its copies 300 to 304 one of each of the labels (0, 1), (0, 0), (1, 0).
+    assert len(fitted[0]) == 302 and fitted[0][:, 1].sum() == 1
+
+
 def test_trouble(spark, trouble, nothing):
     labels = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (5, None, 1), (None, 1, 1), (7, 3, 0), (4, 1, 1)], LABELS)
     chain = toxicity.learn(trouble, labels, ("rude", "toxic"))
