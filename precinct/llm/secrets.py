@@ -34,12 +34,21 @@ ENTROPY_CLASSES = {
     "hex_entropy": ("A-Fa-f0-9", 2.8),
     "base64_entropy": ("A-Za-z0-9+/_=-", 3.75),
 }
-# Candidates that are never secrets: words, paths and numbers (base 64 and hex digests mix
-# letters with several digits), UUIDs, and runs of one repeated unit.
+# Candidates that are never secrets: words and paths, numbers, UUIDs, and runs of one
+# repeated unit. Words are of one case but for a capital at the start, joined by the signs of
+# the class, with two digits at most, each at the end of a word ("file_v2", "part-12/of");
+# up to 200 words may have a capital each, and up to 40 of four letters or more be joined by
+# nothing else ("StringBuilderFactory"). Longer ones, other mixtures of cases and digits
+# inside words are left to the entropy.
+_JOIN = "+/_=-"
+_NUMBER = "(?:(?:[0-9]{{1,2}}|[0-9][{j}][{c}{j}]*[0-9])(?:[{j}][{c}{j}]*)?)?"
+_LOWER, _UPPER = (_NUMBER.format(c=c, j=_JOIN) for c in ("a-z", "A-Z"))
 ALLOW = (
-    r"^[^0-9]*$",
+    f"^[A-Z]?[a-z{_JOIN}]*{_LOWER}$",
+    f"^[A-Z{_JOIN}]*{_UPPER}$",
+    f"^(?:[A-Z]?[a-z]*[{_JOIN}]){{1,200}}[A-Z]?[a-z]*[0-9]{{0,2}}$",
+    r"^[A-Z]?[a-z]+(?:[A-Z][a-z]{3,}){1,40}$",
     r"^[^A-Za-z]*$",
-    r"^[^0-9]*[0-9]?[^0-9]*[0-9]?[^0-9]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(.{1,8})\1+$",
 )
