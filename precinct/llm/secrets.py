@@ -148,14 +148,41 @@ def _overlaps(spans: Column, start: Column, end: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
 
 
+def _outside(spans: Column):
+    """What is left of a candidate outside of ``spans``, which are sorted by start."""
+
+    def cut(s: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            value = F.substring(s["value"], start - s["start"] + 1, end - start)
+            made = F.struct(
+                start.alias("start"), s["rank"].alias("rank"), end.alias("end"), value.alias("value")
+            )
+            return F.when(end - start >= WINDOW, F.array(made)).otherwise(_empty(_SPAN))
+
+        def step(state: Column, found: Column) -> Column:
+            return F.struct(
+                F.greatest(state["at"], found["end"]).alias("at"),
+                F.concat(state["pieces"], piece(state["at"], found["start"])).alias("pieces"),
+            )
+
+        begin = F.struct(s["start"].alias("at"), _empty(_SPAN).alias("pieces"))
+        within = F.filter(spans, lambda f: (f["start"] < s["end"]) & (f["end"] > s["start"]))
+        pieces = F.aggregate(
+            within, begin, step, lambda state: F.concat(state["pieces"], piece(state["at"], s["end"]))
+        )
+        return F.when(_overlaps(spans, s["start"], s["end"]), pieces).otherwise(F.array(s))
+
+    return cut
+
+
 def _is_secret(threshold: float, allow: Sequence[str]):
-    """A test of candidates: new, on no allow list, and with a window of high entropy."""
+    """A test of candidates: on no allow list, and with a window of high entropy."""
 
     def test(s: Column) -> Column:
-        new = ~_overlaps(F.col("spans"), s["start"], s["end"])
-        for listed in allow:
-            new = new & ~s["value"].rlike(listed)
-        return F.when(new, high_entropy(s["value"], threshold)).otherwise(F.lit(False))
+        listed = F.lit(False)
+        for pattern in allow:
+            listed = listed | s["value"].rlike(pattern)
+        return F.when(~listed, high_entropy(s["value"], threshold)).otherwise(F.lit(False))
 
     return test
 
@@ -174,8 +201,8 @@ def find_secrets(
     ``spans`` of (start, rank, end, value). Offsets are code points, ends exclusive; ``rank``
     is the place of the kind in ``KINDS``. Base spans are those of the three patterns and
     always stay. ``spans`` adds the maximal runs of each entropy class with a window above
-    its threshold, unless an allow-list pattern matches the run or it overlaps a span found
-    before. Both are sorted by start, then rank.
+    its threshold, unless an allow-list pattern matches the run. Of a run that overlaps spans
+    found before, each piece outside them counts as a run. Both are sorted by start, then rank.
 
     Null text counts as empty, and texts are scanned whole. Every document keeps its row,
     repeated ones too; an empty table gives none.
@@ -192,14 +219,16 @@ def find_secrets(
     found = found.withColumn("spans", F.col("base_spans"))
     for rank, (chars, threshold) in enumerate(ENTROPY_CLASSES.values(), start=3):
         pattern = f"(?<![{chars}])[{chars}]{{{WINDOW},}}+"
-        secret = F.filter("candidates", _is_secret(threshold, allow))
-        more = F.when(F.size("candidates") == 0, F.col("spans")).otherwise(F.concat("spans", secret))
+        pieces = F.flatten(F.transform(F.col("candidates"), _outside(F.col("spans"))))
+        secret = F.filter(pieces, _is_secret(threshold, allow))
+        added = F.sort_array(F.concat("spans", secret))
+        more = F.when(F.size("candidates") == 0, F.col("spans")).otherwise(added)
         found = (
             found.withColumn("candidates", match_spans(text, pattern, rank))
             .withColumn("spans", more)
             .drop("candidates")
         )
-    return found.withColumn("spans", F.sort_array("spans"))
+    return found
 
 
 def describe(spans: Column) -> Column:
