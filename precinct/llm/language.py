@@ -26,7 +26,7 @@ EMBEDDING = 6
 # The sample: documents of each language, windows of each document, languages.
 PER_LANGUAGE = 600
 WINDOWS = 4
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 200  # more are an error
 EPOCHS = 4
 BATCH = 64
 UNKNOWN = "und"
@@ -149,21 +149,26 @@ def _gradients(net: Network, batch: np.ndarray, truth: np.ndarray, weight: np.nd
     }
 
 
-def sample_windows(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> tuple:
+def sample_windows(
+    docs: DataFrame, *, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES
+) -> tuple:
     """Training windows from a bounded sample of labelled documents (text, lang).
 
     Takes about ``per_language`` documents of each language, never more than twice that
     times the number of languages in all, and ``WINDOWS`` windows from places all over each
     text. Both are picked by hashes, so every run picks the same. Returns windows, language
-    numbers and languages; the windows are the only text that reaches the driver.
+    numbers and languages; the windows are the only text that reaches the driver. More than
+    ``max_languages`` are an error, since none may be left out of training in silence.
     """
     labelled = docs.select(
         text_of(docs).alias("text"), column("lang").cast("string").alias("lang"),
         F.xxhash64(column("doc_id"), F.lit("sample")).alias("order"),
     ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = dict(
-        labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+        labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
     )
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; merge labels or raise max_languages")
     if not counts:
         return np.zeros((0, LENGTH), np.uint8), np.zeros(0, int), []
     languages = sorted(counts)
@@ -196,9 +201,16 @@ def sample_windows(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> tupl
     return windows, np.array([n for _, n in pairs]), languages
 
 
-def learn(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> Network | None:
-    """A network for the languages of ``docs`` (doc_id, text, lang); None without labels."""
-    windows, targets, languages = sample_windows(docs, per_language=per_language)
+def learn(
+    docs: DataFrame, *, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES
+) -> Network | None:
+    """A network for the languages of ``docs`` (doc_id, text, lang); None without labels.
+
+    More than ``max_languages`` are an error.
+    """
+    windows, targets, languages = sample_windows(
+        docs, per_language=per_language, max_languages=max_languages
+    )
     return train(windows, targets, languages) if languages else None
 
 

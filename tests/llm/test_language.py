@@ -86,6 +86,15 @@ def test_cut_covers_every_byte():
         assert len(windows) == max(1, -(-size // language.LENGTH))
 
 
+def test_no_language_is_left_out(spark):
+    rows = [(k, f"text number {k}", f"l{k % 201}") for k in range(402)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="more than 200 languages"):
+        language.learn(docs)
+    assert len(language.learn(docs, max_languages=201).languages) == 201
+    assert len(language.learn(docs.where("lang <> 'l0'")).languages) == 200
+
+
 def test_trouble(trouble, nothing, net):
     rows = language.identify(trouble, net, keep=trouble.columns).collect()
     assert len(rows) == len(brute.TROUBLE)
