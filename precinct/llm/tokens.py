@@ -130,9 +130,9 @@ def count_tokens(
     ``tokenizer`` is a file every executor can read, ``cache`` a Parquet folder in shared
     storage that may be used again for any documents and tokenizers.
 
-    Of each content the cache lacks, one document is chosen to be encoded: by the smallest
-    (partition, place) the digests were written under, so a content of very many copies is
-    reduced by partial aggregates to one row and never meets in one task. A run that fails
+    Of each content the cache lacks, one document is chosen to be encoded: the one whose
+    ``row`` has the smallest JSON, so a content of very many copies is reduced by partial
+    aggregates to one row and never meets in one task. A run that fails
     before the append leaves the cache as it was. Repeated digests in the cache, as two
     concurrent runs can leave, are counted once.
 
