@@ -203,3 +203,95 @@ WITH turns AS (
 SELECT t.conv_id, n_turns, sha256(lines) AS turns_sha256, length(targets) AS loss_chars,
        sha256(targets) AS loss_sha256, CAST(coalesce(formatted_chars, opening) AS BIGINT) AS formatted_chars
 FROM texts t LEFT JOIN formatted f ON f.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+
+def _hashes_within(sketch: str, reach: str) -> str:
+    return f"list_filter(string_split(substr({sketch}, 5), ','), lambda h: h <> '' AND h < {reach})"
+
+
+def _reach(sketch: str) -> str:
+    return f"CASE WHEN {sketch} LIKE 'all:%' THEN 'g' ELSE greatest('200000000000', right({sketch}, 12) || '0') END"
+
+
+def _likeness(one: str, other: str) -> str:
+    """Shared of all hashes, as far as both sketches reach: an eighth of them all, or 32."""
+    reach = f"least({_reach(one)}, {_reach(other)})"
+    a, b = _hashes_within(one, reach), _hashes_within(other, reach)
+    union = f"len(list_distinct(list_concat({a}, {b})))"
+    both = f"(len({a}) + len({b}) - {union})"
+    return f"CASE WHEN {one} = {other} THEN 1.0 WHEN {union} = 0 THEN 0.0 ELSE {both}::DOUBLE / {union} END::DOUBLE"
+
+
+FINGERPRINTS = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+     linked AS (
+       SELECT *, coalesce(lead(text) OVER falling, first(text) OVER falling) AS next_text
+       FROM docs WINDOW falling AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+     edits AS (SELECT *, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM linked),
+     texts AS (SELECT text FROM docs UNION SELECT edited FROM edits),
+     shingles AS (
+       SELECT text, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(
+                generate_series(1, greatest(1, len(w) - 4)),
+                lambda k: substr(md5(array_to_string(w[k:k + 4], ' ')), 1, 12)))) END AS h
+       FROM (SELECT text, {WORDS} AS w FROM texts) AS cut),
+     measured AS (
+       SELECT text, h, greatest(len(list_filter(h, lambda x: x < '200000000000')), least(len(h), 32)) AS kept
+       FROM shingles),
+     sketches AS (
+       SELECT text, CASE WHEN kept = len(h) THEN 'all:' ELSE 'low:' END || coalesce(array_to_string(h[1:kept], ','), '') AS sketch
+       FROM measured)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, own.sketch AS fingerprint,
+       other.sketch AS edited_fingerprint, {_likeness("own.sketch", "other.sketch")} AS near_edited,
+       {_likeness("own.sketch", "following.sketch")} AS near_next
+FROM edits JOIN sketches own ON own.text = edits.text JOIN sketches other ON other.text = edited
+     JOIN sketches following ON following.text = next_text"""
+
+VARIANTS = """
+WITH RECURSIVE
+     crc AS (
+       SELECT list(entry ORDER BY i) AS t
+       FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, step:
+               CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS entry
+             FROM (SELECT unnest(generate_series(0, 255))::BIGINT AS i) AS bytes) AS entries),
+     runs AS (
+       SELECT name, run, count(*) AS times
+       FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS name, unnest(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+             FROM documents) AS each GROUP BY ALL),
+     coded AS (
+       SELECT run, times, flatten(list_transform(string_split(name || ':' || run, ''), lambda ch:
+                CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT]
+                     ELSE [(192 | (unicode(ch) >> 6))::BIGINT, (128 | (unicode(ch) & 63))::BIGINT] END)) AS bytes
+       FROM runs),
+     checked AS (
+       SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b:
+                xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h
+       FROM coded CROSS JOIN crc),
+     spelt AS (
+       SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+                   ELSE run END AS word, times FROM checked),
+     words AS (
+       SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6
+       GROUP BY word HAVING sum(times) >= 5),
+     places AS (SELECT word, unnest(generate_series(1, length(word))) AS p FROM words),
+     masked AS (SELECT word, p, left(word, p - 1) AS head, substr(word, p + 1) AS tail FROM places),
+     shortened AS (SELECT DISTINCT word, head || tail AS other FROM masked),
+     near AS (
+       SELECT a.word, b.word AS other FROM masked a JOIN masked b
+         ON a.p = b.p AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+       UNION ALL SELECT s.word, other FROM shortened s JOIN words w ON w.word = other
+       UNION ALL SELECT other, s.word FROM shortened s JOIN words w ON w.word = other),
+     ranked AS (
+       SELECT near.word, other, n, count(*) OVER (PARTITION BY near.word) AS n_near,
+              row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) AS rank
+       FROM near JOIN words ON words.word = other),
+     formed AS (
+       SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+              CASE WHEN r.n >= 5 * w.n THEN other END AS form, CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n
+       FROM words w LEFT JOIN ranked r ON r.word = w.word AND rank = 1),
+     chain AS (
+       SELECT word, word AS last, 0 AS steps FROM formed
+       UNION ALL
+       SELECT chain.word, form, steps + 1 FROM chain JOIN formed ON formed.word = last WHERE form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n
+FROM formed f JOIN (SELECT word, arg_max(last, steps) AS root FROM chain GROUP BY word) AS roots USING (word)"""

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precinct.llm import (
+    alignment,
     chat,
     decontaminate,
+    fingerprints,
     language,
     mixing,
     near_duplicates,
@@ -19,6 +21,7 @@ from precinct.llm import (
     tokens,
     toxicity,
     urls,
+    variants,
 )
 from precinct.sources.shared import scratch_path
 
@@ -177,6 +180,81 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    aligned = alignment.align(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.select(
+        "row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
+    )
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = fingerprints.with_next(
+        table(spark, sf_dir, "documents"), {"fingerprint": fingerprints.fingerprint}
+    )
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    edited = F.concat(
+        F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half),
+        F.substring(F.col("next_text"), F.lit(1), half),
+    )
+    compared = (
+        linked.withColumn("n_chars", F.char_length("text").cast("long"))
+        .withColumn("edited", edited)
+        .withColumn("edited_fingerprint", fingerprints.fingerprint(F.col("edited")))
+    )
+    own = F.col("fingerprint")
+    return fingerprints.repeated(
+        compared.select(
+            "doc_id",
+            "n_chars",
+            F.sha2("edited", 256).alias("edited_sha256"),
+            "fingerprint",
+            "edited_fingerprint",
+            fingerprints.likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
+            fingerprints.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+            "times",
+        ),
+        F.col("times"),
+    ).drop("times")
+
+
+# How the query makes misspellings, and which words it keeps.
+MISSPELT_EVERY, LEAST_LETTERS, LEAST_TIMES = 199, 6, 5
+
+
+def misspelt_words(documents: DataFrame) -> DataFrame:
+    """Words of all texts with their numbers (word, n); some lose a letter, by a checksum.
+
+    A null doc_id counts as an empty one. Null texts have no words.
+    """
+    lowered = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    runs = F.regexp_extract_all(lowered, F.lit(r"[a-z\u00C0-\u00FF]+"), F.lit(0))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    each = documents.select(name.alias("name"), F.explode(runs).alias("run"))
+    check = F.crc32(F.concat(F.col("name"), F.lit(":"), F.col("run")).cast("binary"))
+    place = (F.col("check") % F.length("run")).cast("int")
+    shorter = F.concat(
+        F.substring(F.col("run"), F.lit(1), place), F.substring(F.col("run"), place + 2, F.length("run"))
+    )
+    misspelt = F.col("check") % MISSPELT_EVERY == 0
+    return (
+        each.withColumn("check", check)
+        .groupBy(F.when(misspelt, shorter).otherwise(F.col("run")).alias("word"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where((F.length("word") >= LEAST_LETTERS) & (F.col("n") >= LEAST_TIMES))
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(misspelt_words(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontaminate": op2_decontaminate,
@@ -188,13 +266,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scans": op10_secret_scans,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-# The others have none: tests hold op1, op4 and op7 to op9 against brute-force versions, and
-# op6 against held-out documents.
+# The others have none: tests hold op1, op4, op7 to op9 and op11 against brute-force versions,
+# and op6 against held-out documents.
 ORACLES: dict[str, str] = {
     "op2_decontaminate": oracles.DECONTAMINATE,
     "op3_chat_formatting": oracles.CHAT,
     "op5_url_filters": oracles.URLS,
     "op10_secret_scans": oracles.SECRETS,
+    "op12_document_fingerprints": oracles.FINGERPRINTS,
+    "op13_spelling_variants": oracles.VARIANTS,
 }

@@ -1,0 +1,150 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from precinct.llm import fingerprints as fp
+from precinct.llm import queries
+
+BOUND = 16**12 // 8
+
+
+def hashes(text):
+    own = brute.words(text)
+    found = {" ".join(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set()
+    return sorted(hashlib.md5(s.encode()).hexdigest()[:12] for s in found)
+
+
+def sketch(text, least=32):
+    own = hashes(text)
+    kept = max(sum(int(h, 16) < BOUND for h in own), min(least, len(own)))
+    return ("all:" if kept == len(own) else "low:") + ",".join(own[:kept])
+
+
+def prose(rng, n):
+    return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+
+
+def columns(spark, texts, *made):
+    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "k int, a string, b string")
+    return [tuple(r)[1:] for r in rows.select("k", *made).orderBy("k").collect()]
+
+
+def test_sketches_against_plain_ones(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, n) for n in (0, 1, 4, 5, 6, 35, 36, 37, 100, 300, 2000)] + ["É é A a-b", "…", None, "A B c"]
+    found = columns(spark, [(t, None) for t in texts], fp.fingerprint(F.col("a")))
+    assert [f for (f,) in found] == [sketch(t) for t in texts]
+    assert sketch("A B c") == sketch("a,b,C") and sketch(None) == "all:"
+
+
+def test_likeness_and_containment_estimate_the_truth(spark):
+    rng = random.Random(6)
+    pairs, truth = [], []
+    for n in (3, 20, 60, 400, 3000):
+        for _ in range(12):
+            base = prose(rng, n).split()
+            cut = rng.randrange(len(base) + 1)
+            pairs.append((" ".join(base), " ".join(base[:cut]) + " " + prose(rng, rng.randrange(1, 2 * n))))
+            one, other = (set(hashes(t)) for t in pairs[-1])
+            truth.append((len(one & other) / len(one | other), len(one & other) / len(one)))
+    one, other = fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))
+    found = columns(spark, pairs, fp.likeness(one, other), fp.containment(one, other))
+    for (like, held), (jaccard, share), (a, b) in zip(found, truth, pairs):
+        if max(len(a.split()), len(b.split())) <= 36:
+            assert like == pytest.approx(jaccard) and held == pytest.approx(share)
+        assert abs(like - jaccard) < 0.25 and (held is None or abs(held - share) < 0.35)
+    errors = [abs(like - jaccard) for (like, _), (jaccard, _) in zip(found, truth)]
+    assert sum(errors) / len(errors) < 0.05
+
+
+def test_very_unequal_documents(spark):
+    """A page of a book: hardly any likeness, full containment."""
+    rng = random.Random(7)
+    book = prose(rng, 20_000).split()
+    page = " ".join(book[7000:7400])
+    one, other = fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))
+    (found,) = columns(spark, [(page, " ".join(book))], fp.likeness(one, other), fp.containment(one, other), fp.containment(other, one))
+    assert found[0] < 0.05 and found[1] == 1.0 and found[2] < 0.05
+
+
+def test_merge_is_the_sketch_of_the_union(spark):
+    """Shingles of two texts together: those of one text that joins them by words of its own."""
+    rng = random.Random(8)
+    for least in (4, 32):
+        pairs = [(prose(rng, a), prose(rng, b)) for a in (0, 3, 20, 400) for b in (0, 2, 30, 900)]
+        found = columns(
+            spark, pairs,
+            fp.merge(fp.fingerprint(F.col("a"), least=least), fp.fingerprint(F.col("b"), least=least), least=least),
+        )
+        for (merged,), (a, b) in zip(found, pairs):
+            own = sorted(set(hashes(a)) | set(hashes(b)))
+            kept = max(sum(int(h, 16) < BOUND for h in own), min(least, len(own)))
+            assert merged.split(":")[1] == ",".join(own[:kept])
+            # A union is only marked as partly known if it may be.
+            assert merged.startswith("all:") == (
+                kept == len(own) and all(sketch(t, least).startswith("all:") for t in (a, b))
+            )
+
+
+def test_bounds_of_the_fraction():
+    assert fp.bound(1 / 8) == "200000000000"
+    for wrong in (0, 1, -1):
+        with pytest.raises(ValueError):
+            fp.bound(wrong)
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_next_document_with_ties_nulls_and_repeats(spark, block):
+    rows = [(k * 7 % 11, f"text {k}") for k in range(11)] + [(3, "other"), (3, "other"), (None, "none"), (None, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = fp.with_next(docs, {"size": F.length}, block=block).collect()
+
+    def order(row):
+        name = "null" if row[0] is None else str(row[0])
+        return row[0] is None, -(row[0] or 0), hashlib.md5(f"{name}:{row[1]}".encode()).hexdigest()
+
+    distinct = sorted({(k, t or "") for k, t in rows}, key=order)
+    following = dict(zip(distinct, distinct[1:] + distinct[:1]))
+    assert {(r.doc_id, r.text): r.next_text for r in found} == {own: other[1] for own, other in following.items()}
+    assert len(found) == len(distinct)
+    assert {(r.doc_id, r.text): r.times for r in found if r.times > 1} == {(3, "other"): 2}
+    assert all(r.size == len(r.text) and r.next_size == len(r.next_text) for r in found)
+
+
+def test_repeats_are_one_row_until_the_end(spark):
+    docs = spark.createDataFrame([(1, "same")] * 5000 + [(0, "last")], "doc_id bigint, text string").repartition(4)
+    linked = fp.with_next(docs, {})
+    assert sorted(tuple(r) for r in linked.collect()) == [(0, "last", "same", 1), (1, "same", "last", 5000)]
+    assert fp.repeated(linked, F.col("times")).count() == 5001
+
+
+def test_blocks_are_all_that_meets(spark):
+    """No block holds more than its documents and one guest."""
+    docs = spark.range(1000).selectExpr("id * id AS doc_id", "concat('t', id) AS text")
+    linked = fp.with_next(docs, {}, block=10)
+    assert linked.count() == 1000
+    text = linked._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in text and "Python" not in text and "Arrow" not in text
+
+
+def test_trouble(spark, trouble, nothing, tmp_path):
+    found = fp.fingerprints(trouble, keep=tuple(trouble.columns)).collect()
+    assert sorted(repr((r.row.doc_id, r.fingerprint)) for r in found) == sorted(
+        repr((row[0], sketch(row[1]))) for row in brute.TROUBLE
+    )
+    assert fp.fingerprints(nothing).count() == 0
+    for name, docs, n in (("trouble", trouble, len(brute.TROUBLE)), ("nothing", nothing, 0), ("one", trouble.where("doc_id = 7"), 1)):
+        docs.drop("a.b").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = queries.op12_document_fingerprints(spark, f"{tmp_path}/{name}").collect()
+        assert len(rows) == n
+        assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    # The only document follows itself.
+    own = "ONE two Three FOUR five six SEVEN"
+    assert rows[0].near_next == 1.0 and rows[0].n_chars == len(own)
+    edited = own[: len(own) - len(own) // 2] + own[: len(own) // 2]
+    assert rows[0].edited_sha256 == brute.sha(edited)

@@ -13,7 +13,7 @@ from precinct.llm.queries import ORACLES, QUERIES
 
 def test_one_query_per_operator_and_the_pipeline():
     names = list(contract.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
     assert set(QUERIES) <= set(names) and set(ORACLES) <= set(contract.oracle_sql())
@@ -33,7 +33,7 @@ def test_query_matches_its_sql(spark, sf_dir, name):
     assert found == sorted(repr(tuple(row[k] for k in order)) for row in expected.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op3_chat_formatting", "op5_url_filters", "op10_secret_scans"])
+@pytest.mark.parametrize("name", ["op3_chat_formatting", "op5_url_filters", "op10_secret_scans", "op12_document_fingerprints"])
 def test_native_queries_have_no_python_step(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
