@@ -119,7 +119,7 @@ def test_next_document_with_ties_nulls_and_repeats(spark, block):
 def test_repeats_are_one_row_until_the_end(spark):
     docs = spark.createDataFrame([(1, "same")] * 5000 + [(0, "last")], "doc_id bigint, text string").repartition(4)
     linked = fp.with_next(docs, {})
-    assert sorted(tuple(r) for r in linked.collect()) == [(0, "last", "same", 1), (1, "same", "last", 5000)]
+    assert sorted(tuple(r) for r in linked.collect()) == [(0, "last", 1, "same"), (1, "same", 5000, "last")]
     assert fp.repeated(linked, F.col("times")).count() == 5001
 
 

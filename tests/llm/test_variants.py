@@ -113,7 +113,7 @@ def test_trouble(spark):
 def test_misspelt_words(spark, trouble, nothing):
     rng = random.Random(4)
     stock = ["Straße", "éclair", "letters", "MIXED", "Àé", "ordinary", "seventh", "tiny"]
-    docs = [(k if k % 9 else None, ", ".join(rng.choices(stock, k=40))) for k in range(120)]
+    docs = [(k if k % 9 else None, ", ".join(rng.choices(stock, k=400))) for k in range(120)]
     counts = Counter()
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for k, text in docs:
