@@ -1,10 +1,11 @@
 """Spelling variant grouping: words one letter apart, found in a frequency-vector trie.
 
-The letters fall into groups, and a word is the vector of its letter counts by group. Level k
-of the trie branches by the count of group k. One inserted, deleted or replaced letter changes
+The letters fall into groups, and a word is the vector of its letter counts by group, the most
+used groups first. Level k of the trie branches by the count of group k. One inserted, deleted or replaced letter changes
 the vector by a surplus of one at most and a deficit of one at most, so a depth-first search
 for a word follows the branch of its own count, and, as long as the budget of one each is not
-spent, those of one more and one less. Words at the leaves are verified letter by letter.
+spent, those of one more and one less. Words of one vector share a search. Words at the leaves
+are verified letter by letter, if they share the half before or after the change.
 
 The top of the trie is a Spark shuffle: words go to the node of their first counts, and
 searches to the nodes their budget reaches. The depth is the least at which no node has more
@@ -22,24 +23,26 @@ from pyspark.sql import functions as F
 
 from precinct.llm.tables import ship_package, staged
 
-GROUPS = 12
-NODE_WORDS = 4096
-NODE_SEARCHES = 1 << 16
+GROUPS = 16
+NODE_WORDS = 1 << 15
+NODE_SEARCHES = 1 << 18
 # Words that stay together in a leaf, where verifying is cheaper than going on.
-LEAF = 6
+LEAF = 10
 # How much more frequent than a word its form must be.
 RATIO = 5
 
 
-def vector(word: str, groups: int = GROUPS) -> list[int]:
-    """Letter counts by group: code points modulo the number of groups."""
-    counts = [0] * groups
-    for letter in word:
-        counts[ord(letter) % groups] += 1
-    return counts
+def vector(word: str, order: list[int]) -> tuple[int, ...]:
+    """Letter counts by group, in the given order of the groups.
+
+    Letters are grouped by their code points modulo the number of groups.
+    """
+    codes = [ord(letter) % len(order) for letter in word]
+    return tuple(map(codes.count, order))
 
 
 def vector_column(word: Column, groups: int = GROUPS) -> Column:
+    """Letter counts by group, in the order of the groups' numbers."""
     letters = F.filter(F.split(word, ""), lambda c: c != "")
     codes = F.transform(letters, lambda c: F.ascii(c) % groups)
     each = F.sequence(F.lit(0), F.lit(groups - 1))
@@ -60,7 +63,13 @@ def one_apart(one: str, other: str) -> bool:
     return one[k:] == other[k + 1 :]
 
 
-def trie(words: list[tuple[list[int], str, int]], level: int):
+def half(word: str) -> tuple[str, str]:
+    """One edit leaves the letters before it or after it: half of the word at least."""
+    h = max(0, len(word) - 1) // 2
+    return word[:h], word[len(word) - h :]
+
+
+def trie(words: list[tuple[tuple[int, ...], str, int]], level: int):
     """Nested branches by count from ``level`` on; a list of (word, n) is a leaf."""
     if len(words) <= LEAF or level == len(words[0][0]):
         return [(word, n) for _, word, n in words]
@@ -70,7 +79,7 @@ def trie(words: list[tuple[list[int], str, int]], level: int):
     return {count: trie(part, level + 1) for count, part in branches.items()}
 
 
-def reached(root, counts: list[int], level: int, surplus: int, deficit: int) -> Iterator[list]:
+def reached(root, counts: tuple[int, ...], level: int, surplus: int, deficit: int) -> Iterator[list]:
     """The leaves a search reaches, depth first, each by the one way its counts allow."""
     stack = [(root, level, surplus, deficit)]
     while stack:
@@ -90,19 +99,23 @@ def reached(root, counts: list[int], level: int, surplus: int, deficit: int) ->
 _FOUND = "word string, n_near bigint, best_n bigint, best string"
 
 
-def _searcher(groups: int, depth: int):
+def _searcher(order: list[int], depth: int):
     def run(key: tuple[pa.Scalar, ...], stored: pa.Table, searches: pa.Table) -> pa.Table:
         words, near, most, best = [], [], [], []
-        if len(stored) and len(searches):
+        asked: dict[tuple, list[str]] = {}
+        if len(stored):
+            for word, *budget in zip(*(searches[c].to_pylist() for c in ("word", "surplus", "deficit"))):
+                asked.setdefault((vector(word, order), *budget), []).append(word)
             names = stored["word"].to_pylist()
-            root = trie([(vector(w, groups), w, n) for w, n in zip(names, stored["n"].to_pylist())], depth)
-            asked = zip(*(searches[c].to_pylist() for c in ("word", "surplus", "deficit")))
-            for word, surplus, deficit in asked:
+            root = trie([(vector(w, order), w, n) for w, n in zip(names, stored["n"].to_pylist())], depth)
+        for (counts, surplus, deficit), alike in asked.items():
+            candidates = [pair for leaf in reached(root, counts, depth, surplus, deficit) for pair in leaf]
+            for word in alike:
+                head, tail = half(word)
                 found = [
                     (-n, other)
-                    for leaf in reached(root, vector(word, groups), depth, surplus, deficit)
-                    for other, n in leaf
-                    if one_apart(word, other)
+                    for other, n in candidates
+                    if (other.startswith(head) or other.endswith(tail)) and one_apart(word, other)
                 ]
                 if found:
                     n, other = min(found)
@@ -122,6 +135,13 @@ def _searcher(groups: int, depth: int):
     return run
 
 
+def _order(words: DataFrame, groups: int) -> list[int]:
+    """The groups by their letters in all words, most first."""
+    counts = words.select(vector_column(F.col("word"), groups).alias("counts"))
+    used = counts.agg(*[F.sum(F.get("counts", F.lit(g))).alias(str(g)) for g in range(groups)]).first()
+    return sorted(range(groups), key=lambda g: (-(used[g] or 0), g))
+
+
 def _node(counts: Column, depth: int) -> Column:
     return F.array_join(F.slice(counts, 1, depth), ".")
 
@@ -171,7 +191,9 @@ def near_words(
     largest number, ties going to the smallest in code-point order.
     """
     ship_package(words.sparkSession)
-    vectors = staged(words.select("word", "n", vector_column(F.col("word"), groups).alias("counts")), "vectors")
+    order = _order(words, groups)
+    in_order = F.transform(F.array(vector_column(F.col("word"), groups)), lambda c: F.array(*[F.get(c, F.lit(g)) for g in order]))[0]
+    vectors = staged(words.select("word", "n", in_order.alias("counts")), "vectors")
     depth = _depth(vectors, groups, node_words)
     stored = vectors.select("word", "n", _node(F.col("counts"), depth).alias("node"))
     sizes = stored.groupBy("node").agg(F.count(F.lit(1)).alias("stored"))
@@ -201,7 +223,7 @@ def near_words(
         dealt(stored, "stored", "asked")
         .groupBy(*keys)
         .cogroup(dealt(searches, "asked", "stored").groupBy(*keys))
-        .applyInArrow(_searcher(groups, depth), _FOUND)
+        .applyInArrow(_searcher(order, depth), _FOUND)
     )
     best = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))
     return (

@@ -59,14 +59,17 @@ def test_one_apart(one, other):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.text("abcdé", min_size=1, max_size=6), min_size=1, max_size=60, unique=True), st.integers(1, 7))
-def test_search_in_the_trie_reaches_all_near_words(words, groups):
-    root = variants.trie([(variants.vector(w, groups), w, 1) for w in words], 0)
+@given(st.lists(st.text("abcdé", min_size=1, max_size=6), min_size=1, max_size=60, unique=True), st.permutations(range(5)))
+def test_search_in_the_trie_reaches_all_near_words(words, order):
+    root = variants.trie([(variants.vector(w, order), w, 1) for w in words], 0)
     for word in words:
-        leaves = list(variants.reached(root, variants.vector(word, groups), 0, 1, 1))
+        leaves = list(variants.reached(root, variants.vector(word, order), 0, 1, 1))
         candidates = [w for leaf in leaves for w, _ in leaf]
         assert len(candidates) == len(set(candidates))
-        assert {w for w in words if apart(word, w)} <= set(candidates)
+        near = {w for w in words if apart(word, w)}
+        assert near <= set(candidates)
+        head, tail = variants.half(word)
+        assert all(w.startswith(head) or w.endswith(tail) for w in near)
 
 
 @pytest.mark.parametrize(
@@ -83,7 +86,7 @@ def test_vectors_are_the_same_in_sql(spark):
     words = ["", "a", "abcabc", "éÿÀ", "zzz"]
     table = spark.createDataFrame([(w,) for w in words], "word string")
     rows = table.select("word", variants.vector_column(table["word"]).alias("v")).collect()
-    assert {r.word: r.v for r in rows} == {w: variants.vector(w) for w in words}
+    assert {r.word: tuple(r.v) for r in rows} == {w: variants.vector(w, range(variants.GROUPS)) for w in words}
 
 
 def test_chains_ties_and_hot_roots(spark):
