@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -39,22 +40,32 @@ BLOCK_KEYS = 1 << 22
 FAN = 16
 # Pairs a task of the first pass counts before it writes them out and begins anew.
 TASK_PAIRS = 1 << 21
-# Pieces a worker remembers, the longest of them, and texts that are aligned together.
-PIECES = 300_000
-PIECE_CHARS = 64
+# Pieces a worker remembers and their mean length at most; pieces encoded as one text, and
+# texts aligned together.
+PIECES = 600_000
+PIECE_CHARS = 32
+RUN = 256
 TEXTS = 256
+# Bits of an id; the number of a text goes above two of them.
+BITS = 24
 
 _cut = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
+_ends, _starts = re.compile(r"[\w!-~]\Z"), re.compile(r" [\w!-~]")
 _byte_piece = re.compile(r"<0x([0-9A-F]{2})>")
 _UNDERLINE = "▁"
 _COUNTS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
 
 
 class Aligned(NamedTuple):
-    n_a: int
-    n_b: int
-    keys: list[int]  # a << 32 | b, one for each overlap
-    groups: list[str]
+    """Alignments of several pieces. Keys and groups stand one piece after the other."""
+
+    valid: np.ndarray  # whether both tokenizers give the piece back byte by byte
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    keys: np.ndarray  # an id pair for each overlap
+    groups: list[str]  # by piece; empty unless asked for
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -88,39 +99,75 @@ class Aligner:
         for piece in map(self.b.id_to_piece, range(self.b.get_piece_size())):
             byte = _byte_piece.fullmatch(piece)
             self.b_bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace(_UNDERLINE, " ").encode())
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << BITS:
+            raise ValueError(f"ids must be below {1 << BITS}")
+        self.a_sizes = np.array([len(t) for t in self.a_bytes], np.int64)
+        self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
         self.cuts = _is_byte_level(self.a) and not any(b" " in t.lstrip(b" ") for t in self.b_bytes)
 
     def pieces(self, text: str) -> list[str]:
         """What ``space + text`` falls into; every piece begins with a space."""
         return _cut.split(" " + text) if self.cuts else [" " + text]
 
-    def align(self, pieces: list[str]) -> list[Aligned | None]:
-        """The groups and links of each piece; None where the joined bytes differ from it."""
-        if not pieces:
-            return []
-        ones = self.a.encode_batch_fast(pieces, add_special_tokens=False)
-        others = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return [self._match(p.encode(), one.ids, other) for p, one, other in zip(pieces, ones, others)]
-
-    def _match(self, data: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        a_parts, b_parts = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(a_parts) != data or b"".join(b_parts) != data or not all(a_parts) or not all(b_parts):
-            return None
-        keys, groups = [], []
-        i = j = first_a = first_b = a_end = b_end = 0
-        while i < len(a):
-            keys.append(a[i] << 32 | b[j])
-            gap = a_end + len(a_parts[i]) - b_end - len(b_parts[j])
-            if gap <= 0:
-                a_end += len(a_parts[i])
-                i += 1
-            if gap >= 0:
-                b_end += len(b_parts[j])
-                j += 1
-            if gap == 0:
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                first_a, first_b = i, j
-        return Aligned(len(a), len(b), keys, groups)
+    def align(self, pieces: list[str], with_groups: bool = True) -> Aligned:
+        """Align pieces. Invalid ones have no tokens."""
+        pieces_bytes = [p.encode() for p in pieces]
+        sizes = np.array([len(d) for d in pieces_bytes], np.int64)
+        a, b, right = self._encoded(self._runs(pieces), b"".join(pieces_bytes), np.cumsum(sizes))
+        valid = np.ones(len(pieces), bool)
+        if not right:
+            for k, (piece, data) in enumerate(zip(pieces, pieces_bytes)):
+                valid[k] = self._encoded([piece], data, sizes[k : k + 1])[2]
+            good = [p for p, there in zip(pieces, valid) if there]
+            a, b, _ = self._encoded(good, b"", sizes[:0])
+        return self._matched(a, b, np.where(valid, sizes, 0), valid, with_groups)
+
+    def _runs(self, pieces: list[str]) -> list[str]:
+        """Pieces joined again where they may be cut, because few long texts are encoded faster."""
+        if not self.cuts:
+            return pieces
+        runs, own = [], []
+        for piece in pieces:
+            if own and not (len(own) < RUN and _ends.search(own[-1]) and _starts.match(piece)):
+                runs.append("".join(own))
+                own = []
+            own.append(piece)
+        return [*runs, "".join(own)] if own else runs
+
+    def _encoded(self, texts: list[str], data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids of all texts, and whether they give ``data`` with a token ending at all ``ends``."""
+        ones = self.a.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        others = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
+        a = np.array([k for one in ones for k in one.ids], np.int64)
+        b = np.array([k for other in others for k in other], np.int64)
+        right = True
+        for ids, parts, lengths in ((a, self.a_bytes, self.a_sizes), (b, self.b_bytes, self.b_sizes)):
+            right = (
+                right
+                and b"".join(map(parts.__getitem__, ids.tolist())) == data
+                and bool(lengths[ids].all())
+                and bool(np.isin(ends, np.cumsum(lengths[ids]), assume_unique=True).all())
+            )
+        return a, b, right
+
+    def _matched(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, valid: np.ndarray, with_groups: bool) -> Aligned:
+        a_ends, b_ends, piece_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]), np.cumsum(sizes)
+        # Between two ends of either kind there is one token of each: an overlap.
+        ends = np.unique(np.concatenate([a_ends, b_ends]))
+        i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        count = lambda at: np.bincount(np.searchsorted(piece_ends, at), minlength=len(sizes))
+        both = (a_ends[i] == ends) & (b_ends[j] == ends) if len(ends) else np.empty(0, bool)
+        n_groups, groups = count(ends[both]), []
+        if with_groups:
+            ones, others = list(map(str, a.tolist())), list(map(str, b.tolist()))
+            parts, x, y = [], 0, 0
+            for up_to_a, up_to_b in zip((i[both] + 1).tolist(), (j[both] + 1).tolist()):
+                parts.append(",".join(ones[x:up_to_a]) + "|" + ",".join(others[y:up_to_b]))
+                x, y = up_to_a, up_to_b
+            stops = np.cumsum(n_groups).tolist()
+            groups = [";".join(parts[x:y]) for x, y in zip([0, *stops], stops)]
+        keys = (a[i] << BITS | b[j]) if len(ends) else np.empty(0, np.int64)
+        return Aligned(valid, count(a_ends), count(b_ends), n_groups, count(ends), keys, groups)
 
 
 @lru_cache(maxsize=2)
@@ -129,32 +176,71 @@ def aligner(byte_file: str, piece_file: str) -> Aligner:
 
 
 class _Memory:
-    """Pieces a worker has aligned, with whatever ``make`` turns their alignments into."""
-
-    def __init__(self, own: Aligner, make):
-        self.own, self.make, self.known = own, make, {}
-
-    def texts(self, texts: list[str | None]) -> list[list]:
-        """What each text consists of; nothing if it has no tokens."""
-        if len(self.known) > PIECES:
-            self.known.clear()
+    """Pieces a worker has aligned: their keys one after the other, numbers, and groups."""
+
+    def __init__(self, own: Aligner, lookup: _Lookup | None = None):
+        self.own, self.lookup = own, lookup
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.keys = np.empty(0, np.int64)
+        self.starts = np.zeros(1, np.int64)
+        self.numbers = np.zeros((0, 6), np.int64)
+        self.groups: list[str] = []
+
+    def add(self, pieces: list[str]) -> list[int]:
+        """Align pieces and return their places; -1 for those that are not valid."""
+        found = self.own.align(pieces, self.lookup is not None)
+        first = len(self.starts) - 1
+        if self.lookup is None:
+            self.keys = np.concatenate([self.keys, found.keys])
+        else:
+            sums = self.lookup.sums(found)
+            basic = (found.n_a, found.n_b, found.n_groups, found.n_links)
+            self.numbers = np.concatenate([self.numbers, np.column_stack([*basic, *sums])])
+            self.groups += found.groups
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(found.n_links)])
+        return np.where(found.valid, np.arange(first, first + len(pieces)), -1).tolist()
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the pieces of all texts, and where each text's begin and end."""
+        if len(self.known) > PIECES or self.chars > PIECES * PIECE_CHARS:
+            self.clear()
         cut = [self.own.pieces(t) if t else [] for t in texts]
         new = [p for p in dict.fromkeys(p for pieces in cut for p in pieces) if p not in self.known]
-        made = dict(zip(new, self.make(self.own.align(new))))
-        self.known.update((p, m) for p, m in made.items() if len(p) <= PIECE_CHARS)
-        found = []
+        self.known.update(zip(new, self.add(new)))
+        self.chars += sum(map(len, new))
+        places = []
         for text, pieces in zip(texts, cut):
-            parts = [made[p] if p in made else self.known[p] for p in pieces]
-            if any(part is None for part in parts):
+            own = [self.known[p] for p in pieces]
+            if -1 in own:
                 # Only the whole text decides whether its bytes come back.
-                whole = self.make(self.own.align([" " + text]))
-                parts = [] if whole[0] is None else whole
-            found.append(parts)
-        return found
+                own = self.add([" " + text])
+                own = [] if own[0] < 0 else own
+            places.append(own)
+        bounds = np.r_[0, np.cumsum([len(own) for own in places])].astype(np.int64)
+        return np.array([k for own in places for k in own], np.int64), bounds
+
+    def distinct_keys(self, places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The keys of all texts, each as often as texts have it."""
+        lengths = self.starts[places + 1] - self.starts[places]
+        before = np.cumsum(lengths) - lengths
+        at = np.repeat(self.starts[places] - before, lengths) + np.arange(lengths.sum())
+        text = np.repeat(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), lengths)
+        return np.unique(text << (2 * BITS) | self.keys[at]) & ((1 << 2 * BITS) - 1)
+
 
+_kept: dict[tuple, _Memory] = {}
 
-def _distinct_keys(aligned: list[Aligned | None]) -> list:
-    return [None if one is None else np.unique(np.array(one.keys, np.int64)) for one in aligned]
+
+def _remembered(name: tuple, make) -> _Memory:
+    """The memory a worker goes on with from task to task, one at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +257,7 @@ def _pair_counter(byte_file: str, piece_file: str):
     """Pairs and the documents that link them, per ``chunk``: what a task counted at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Memory(aligner(byte_file, piece_file), _distinct_keys)
+        memory = _remembered((byte_file, piece_file), lambda: _Memory(aligner(byte_file, piece_file)))
         task, chunk = TaskContext.get().partitionId(), 0
         none = np.empty(0, np.int64)
         keys, counts = none, none
@@ -185,9 +271,7 @@ def _pair_counter(byte_file: str, piece_file: str):
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
                 texts = batch["text"].slice(start, TEXTS).to_pylist()
-                sets = [np.unique(np.concatenate(parts)) for parts in memory.texts(texts) if parts]
-                if sets:
-                    keys, counts = _merged(keys, counts, np.concatenate(sets))
+                keys, counts = _merged(keys, counts, memory.distinct_keys(*memory.texts(texts)))
                 if len(keys) > TASK_PAIRS:
                     yield written()
                     keys, counts, chunk = none, none, chunk + 1
@@ -197,12 +281,12 @@ def _pair_counter(byte_file: str, piece_file: str):
 
 
 def _shard(pair: Column, shards: int) -> Column:
-    a, b = F.shiftright(pair, 32), pair.bitwiseAND(F.lit((1 << 32) - 1))
+    a, b = F.shiftright(pair, BITS), pair.bitwiseAND(F.lit((1 << BITS) - 1))
     return (a * F.lit(2654435761) + b * F.lit(2246822519)) % F.lit(shards)
 
 
 def _shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> 32) * 2654435761 + (keys & ((1 << 32) - 1)) * 2246822519) % shards
+    return ((keys >> BITS) * 2654435761 + (keys & ((1 << BITS) - 1)) * 2246822519) % shards
 
 
 def _hashed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -263,9 +347,9 @@ class PairCounts(NamedTuple):
     def table(self) -> DataFrame:
         """(a, b, n_documents) for every id pair that a document links."""
         pairs = self.shards.select("keys", "counts").mapInArrow(_unpacked, "pair bigint, n bigint")
-        low = F.lit((1 << 32) - 1)
+        low = F.lit((1 << BITS) - 1)
         return pairs.select(
-            F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(low).alias("b"), F.col("n").alias("n_documents")
+            F.shiftright("pair", BITS).alias("a"), F.col("pair").bitwiseAND(low).alias("b"), F.col("n").alias("n_documents")
         )
 
 
@@ -329,39 +413,31 @@ class _Lookup:
                 found[part] = counts[numbers]
         return found
 
-    def sums(self, aligned: list[Aligned | None]) -> list:
-        """Per piece: the six numbers, and its groups."""
-        there = [one for one in aligned if one is not None]
-        keys = np.array([k for one in there for k in one.keys], np.int64)
-        counts = self.counts(keys)
-        is_best = (counts > 0) & (counts == self.best[keys >> 32])
-        owner = np.repeat(np.arange(len(there)), [len(one.keys) for one in there])
-        count_sum, n_best = np.zeros((2, len(there)), np.int64)
-        np.add.at(count_sum, owner, counts)
-        np.add.at(n_best, owner, is_best)
-        made = iter(
-            (np.array([one.n_a, one.n_b, len(one.groups), len(one.keys), best, total], np.int64), ";".join(one.groups))
-            for one, best, total in zip(there, n_best, count_sum)
-        )
-        return [None if one is None else next(made) for one in aligned]
+    def sums(self, found: Aligned) -> tuple[np.ndarray, np.ndarray]:
+        """Best links and counts per piece."""
+        counts = self.counts(found.keys)
+        is_best = (counts > 0) & (counts == self.best[found.keys >> BITS])
+        ends = np.cumsum(found.n_links)
+        starts = ends - found.n_links
+        totals = [np.r_[0, np.cumsum(each)] for each in (is_best, counts)]
+        return tuple(total[ends] - total[starts] for total in totals)
 
 
 def _second_pass(byte_file: str, piece_file: str, block, later: bool):
     """Add the numbers of one block; the first one also gives the groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, best, n_shards = block.value
-        memory = _Memory(aligner(byte_file, piece_file), _Lookup(rows, np.frombuffer(best, np.int64), n_shards).sums)
+        name, rows, best, n_shards = block.value
+        lookup = lambda: _Lookup(rows, np.frombuffer(best, np.int64), n_shards)
+        memory = _remembered((name,), lambda: _Memory(aligner(byte_file, piece_file), lookup()))
         names = [field.split()[0] for field in _COUNTS.split(", ")]
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(start, TEXTS)
-                numbers = np.zeros((part.num_rows, 6), np.int64)
-                groups = []
-                for k, parts in enumerate(memory.texts(part["text"].to_pylist())):
-                    if parts:
-                        numbers[k] = np.sum([own for own, _ in parts], axis=0)
-                    groups.append("" if later else ";".join(g for _, g in parts))
+                places, bounds = memory.texts(part["text"].to_pylist())
+                totals = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(memory.numbers[places], axis=0)])
+                numbers = totals[bounds[1:]] - totals[bounds[:-1]]
+                groups = [";".join([memory.groups[k] for k in places[x:y].tolist()]) for x, y in zip(bounds, bounds[1:])]
                 made = {name: pa.array(numbers[:, k]) for k, name in enumerate(names)}
                 if later:
                     for name in names[:4]:
@@ -421,7 +497,7 @@ def align(
         own = counted.shards.where(F.col("shard").between(shards[0], shards[-1])) if shards else counted.shards
         rows = [tuple(r) for r in own.select("shard", "sizes", "bits", "keys", "counts").collect()]
         rows = [(s, list(sizes), bytes(bits), bytes(keys), bytes(counts)) for s, sizes, bits, keys, counts in rows]
-        block = spark.sparkContext.broadcast((rows, best.tobytes(), counted.n_shards))
+        block = spark.sparkContext.broadcast((uuid.uuid4().hex, rows, best.tobytes(), counted.n_shards))
         schema = f"text string, {_COUNTS}, groups string"
         run = _second_pass(byte_file, piece_file, block, found is not None)
         if found is None:

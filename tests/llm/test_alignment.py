@@ -114,14 +114,17 @@ def test_pieces_add_up_to_the_whole_text(libraries):
     assert own.cuts
     for _ in range(400):
         text = "".join(rng.choice(ODD) for _ in range(rng.randrange(1, 20)))
-        pieces = own.align(own.pieces(text))
-        whole = plain(text, libraries)
-        if all(pieces):
-            assert whole is not None
-            assert ";".join(g for p in pieces for g in p.groups) == whole[2]
-            assert sorted(k for p in pieces for k in p.keys) == sorted(a << 32 | b for a, b in whole[4])
-        else:
-            assert whole is None
+        found, whole = own.align(own.pieces(text)), plain(text, libraries)
+        assert found.valid.all() == (whole is not None)
+        if whole is not None:
+            assert ";".join(found.groups) == whole[2]
+            assert (found.n_a.sum(), found.n_b.sum(), found.n_groups.sum()) == (whole[0], whole[1], whole[3])
+            assert sorted(found.keys) == sorted(a << alignment.BITS | b for a, b in whole[4])
+    # One invalid piece leaves the others as they are.
+    mixed = own.align([" one", " a▁b", " two words", "  "])
+    assert mixed.valid.tolist() == [True, False, True, True]
+    assert mixed.n_a[1] == mixed.n_links[1] == 0 and mixed.groups[1] == ""
+    assert mixed.groups[2] == own.align([" two words"]).groups[0]
 
 
 @pytest.mark.parametrize("options", [{}, {"shard_keys": 800, "block_keys": 2000, "fan": 2}])
@@ -160,7 +163,7 @@ def test_counts_are_written_out_in_chunks(spark, monkeypatch):
     totals, chunks = Counter(), set()
     for batch in alignment._pair_counter(A, B)(batches):
         for chunk, pair, n in zip(*(batch[c].to_pylist() for c in ("chunk", "pair", "n"))):
-            totals[pair >> 32, pair & 0xFFFFFFFF] += n
+            totals[pair >> alignment.BITS, pair & ((1 << alignment.BITS) - 1)] += n
             chunks.add(chunk)
     assert len(chunks) > 3
     assert totals == {(r.a, r.b): r.n_documents for r in usual}
@@ -185,15 +188,13 @@ def test_query_on_the_test_tables(spark, sf_dir, libraries):
     assert set(found) == {d.doc_id for d in docs}
     short = [d for d in docs if len(d.text or "") < 1500]
     own = alignment.aligner(A, B)
-    whole = {d.doc_id: own.align([" " + d.text])[0] for d in docs}
-    held = Counter(k for one in whole.values() if one for k in set(one.keys))
+    whole = {d.doc_id: own.align([" " + d.text] if d.text else []) for d in docs}
+    held = Counter(k for one in whole.values() for k in set(one.keys.tolist()))
     for d in docs:
         one, row = whole[d.doc_id], found[d.doc_id]
-        if one is None:
-            assert row.n_a == 0 and row.groups_sha256 == ""
-            continue
-        assert (row.n_a, row.n_b, row.n_links) == (one.n_a, one.n_b, len(one.keys))
-        assert row.count_sum == sum(held[k] for k in one.keys)
-        assert row.groups_sha256 == hashlib.sha256(";".join(one.groups).encode()).hexdigest()
+        assert (row.n_a, row.n_b, row.n_links) == (one.n_a.sum(), one.n_b.sum(), len(one.keys))
+        assert row.count_sum == sum(held[k] for k in one.keys.tolist())
+        groups = ";".join(one.groups)
+        assert row.groups_sha256 == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
     for d in short[:30]:
-        assert plain(d.text, libraries)[2] == ";".join(whole[d.doc_id].groups)
+        assert plain(d.text, libraries)[2] == whole[d.doc_id].groups[0]
