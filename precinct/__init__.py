@@ -14,10 +14,16 @@ from precinct.plans.profile import (
     count_rows,
     distinct_values,
 )
+from precinct.plans.rank_association import (
+    permutation_test,
+    ranked_association,
+    shuffled_association,
+    spearman,
+)
 from precinct.plans.rates import compare_with_top, joined_rate, per_head_rate
 from precinct.plans.trend import average_change, period_change, period_counts, trend
 from precinct.session import get_session
-from precinct.sources.files import read_area_lookup, read_incidents
+from precinct.sources.files import read_area_lookup, read_incidents, rejected_area_lookup
 from precinct.sources.staging import (
     read_staged_area_lookup,
     read_staged_incident_counts,
@@ -25,6 +31,7 @@ from precinct.sources.staging import (
     stage_area_lookup,
     stage_incident_counts,
     stage_incidents,
+    stage_months,
 )
 
 __all__ = [
@@ -41,6 +48,8 @@ __all__ = [
     "joined_rate",
     "paired_counts",
     "per_head_rate",
+    "permutation_test",
+    "ranked_association",
     "period_change",
     "period_counts",
     "read_area_lookup",
@@ -48,9 +57,13 @@ __all__ = [
     "read_staged_area_lookup",
     "read_staged_incident_counts",
     "read_staged_incidents",
+    "rejected_area_lookup",
     "roll_up",
+    "shuffled_association",
+    "spearman",
     "stage_area_lookup",
     "stage_incident_counts",
     "stage_incidents",
+    "stage_months",
     "trend",
 ]

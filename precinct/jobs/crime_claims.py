@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from precinct import schemas
@@ -29,10 +29,12 @@ from precinct.plans.profile import (
     count_rows,
     distinct_values,
 )
+from precinct.plans.rank_association import ranked_association, shuffled_association
 from precinct.plans.rates import compare_with_top, joined_rate, per_head_rate
 from precinct.plans.trend import average_change, period_change, period_counts, trend
 from precinct.session import get_session
-from precinct.sources.files import read_area_lookup, read_incidents
+from precinct.sources.files import read_area_lookup, read_incidents, rejected_area_lookup
+from precinct.sources.shared import staged
 from precinct.sources.staging import (
     read_staged_area_lookup,
     read_staged_incident_counts,
@@ -41,17 +43,18 @@ from precinct.sources.staging import (
 )
 
 # Results as long as the data: written, not printed.
-LONG = ("categories", "violent crime by month", "joined rate", "per-head rate")
+LONG = ("rejected lookup lines", "categories", "violent crime by month", "joined rate", "per-head rate")
 
 
 def report(incidents: DataFrame, lookup: DataFrame, *, district: str) -> dict[str, DataFrame]:
     """All results by name, in the order of the claims.
 
-    ``incidents`` may be rolled up, which spares ten passes over the raw rows.
+    ``incidents`` may be rolled up, which spares ten passes over the raw rows. The rates, which
+    several results look at, are computed once.
     """
     counts = period_counts(incidents, categories=schemas.VIOLENT)
-    joined = joined_rate(incidents, lookup, categories=schemas.FIREARMS)
-    per_head = per_head_rate(incidents, lookup, categories=schemas.FIREARMS)
+    joined = staged(joined_rate(incidents, lookup, categories=schemas.FIREARMS), "joined-rate")
+    per_head = staged(per_head_rate(incidents, lookup, categories=schemas.FIREARMS), "per-head-rate")
     sets = {"left": schemas.FIREARMS, "right": schemas.DRUGS}
     return {
         "incidents": count_incidents(incidents),
@@ -69,9 +72,20 @@ def report(incidents: DataFrame, lookup: DataFrame, *, district: str) -> dict[st
         "per-head rate, named district and top": compare_with_top(per_head, district),
         "firearms and drugs by area": association(incidents, lookup, **sets, key="area_code"),
         "firearms and drugs by district": association(incidents, lookup, **sets, key="district"),
+        "firearms and drugs by area, ranked": ranked_association(incidents, lookup, **sets, key="area_code"),
+        "firearms and drugs by district, ranked": ranked_association(incidents, lookup, **sets, key="district"),
+        "firearms and drugs by area, shuffled": shuffled_association(incidents, lookup, **sets, key="area_code"),
     }
 
 
+def rows_of_the_files(spark: SparkSession, seen: dict, found: dict) -> DataFrame:
+    """What the staging of the files has counted on its way, as one row."""
+    return spark.createDataFrame(
+        [(seen["rows_read"], seen["without_id"], found["rows_read"], found["without_population"])],
+        "incident_rows bigint, without_id bigint, lookup_rows bigint, without_population bigint",
+    )
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--incidents", required=True, help="raw incident CSV with header")
@@ -84,9 +98,15 @@ def main(arguments: list[str] | None = None) -> None:
     spark = get_session("precinct-crime-claims")
     incident_table = f"{options.staging}/incident_counts"
     lookup_table = f"{options.staging}/area_lookup"
-    stage_incident_counts(read_incidents(spark, options.incidents), incident_table)
-    stage_area_lookup(read_area_lookup(spark, options.lookup), lookup_table)
-    results = report(
+    seen, found = Observation("incidents"), Observation("lookup")
+    incidents = read_incidents(spark, options.incidents, mixed_headers=True, counts=seen)
+    stage_incident_counts(incidents, incident_table)
+    stage_area_lookup(read_area_lookup(spark, options.lookup, counts=found), lookup_table)
+    results = {
+        "rows of the files": rows_of_the_files(spark, seen.get, found.get),
+        "rejected lookup lines": rejected_area_lookup(spark, options.lookup),
+    }
+    results |= report(
         read_staged_incident_counts(spark, incident_table),
         read_staged_area_lookup(spark, lookup_table),
         district=options.district,

@@ -15,6 +15,7 @@ from precinct.operators.fanout import (
     lookup_counts,
     lookup_districts,
 )
+from precinct.sources.shared import staged
 
 
 def joined_totals(incidents: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -87,8 +88,10 @@ def compare_with_top(
     rate over the district's own, null where that is 0. ``rates`` has one row per district. A
     district that is not there, or has no rate, gives nulls beside the top.
 
-    Reads the named rate as a one-row result first; the rest is one aggregate.
+    The rates are computed once, and written to the shared folder: the named rate and its
+    rank are read from there.
     """
+    rates = staged(rates.select("district", rate), "rates")
     named = rates.where((F.col("district") == district) & F.col(rate).isNotNull()).select(rate).first()
     own = F.lit(named[0] if named else None).cast("double")
     known = rates.where(F.col(rate).isNotNull())

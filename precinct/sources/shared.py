@@ -58,7 +58,12 @@ def remove_scratch(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from the Parquet copy.
+
+    What follows depends on the copy alone: it survives lost executors, and rows keep the
+    files and places they were written to.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,6 +29,19 @@ def stage_incident_counts(incidents: DataFrame, path: str, *, mode: str = "error
     roll_up(incidents).hint("rebalance", "category").write.mode(mode).parquet(path)
 
 
+def stage_months(incidents: DataFrame, path: str) -> None:
+    """Write ``roll_up(incidents)`` as Parquet by period, replacing the periods it has.
+
+    For files that come month by month: a month staged again takes the place of its first
+    version, and the files of other months are not touched. Incidents of one month must come
+    in one call. ``read_staged_incident_counts`` reads the folder. Rows without a period make
+    a partition of their own and come back with a null one.
+    """
+    counts = roll_up(incidents).hint("rebalance", "period", "category")
+    writer = counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("period").parquet(path)
+
+
 def stage_area_lookup(lookup: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """Write the area lookup as Parquet in evenly sized files."""
     lookup.hint("rebalance").write.mode(mode).parquet(path)

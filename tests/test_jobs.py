@@ -100,7 +100,12 @@ def test_job_prints_and_writes_every_result(spark, files, tmp_path, capsys):
     assert "firearms and drugs by district" in printed
     assert "Birmingham" in printed
     written = {path.name for path in (tmp_path / "output").iterdir()}
-    assert len(written) == 15
+    assert len(written) == 20
+    rows = spark.read.parquet(str(tmp_path / "output" / "rows_of_the_files"))
+    assert tuple(rows.first()) == (600, 60, 40, 0)
+    assert spark.read.parquet(str(tmp_path / "output" / "rejected_lookup_lines")).count() == 0
+    ranked = spark.read.parquet(str(tmp_path / "output" / "firearms_and_drugs_by_area_ranked"))
+    assert ranked.first().n_groups > 5
     compared = spark.read.parquet(str(tmp_path / "output" / "joined_rate_named_district_and_top"))
     assert compared.first().district == "Birmingham"
 

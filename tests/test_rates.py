@@ -148,3 +148,12 @@ def test_comparison_with_the_top(spark):
 def test_a_bare_string_is_no_category_set():
     with pytest.raises(TypeError, match="sequence"):
         in_categories("Drugs")
+
+
+def test_comparison_computes_the_rates_once(spark, tmp_path):
+    """Everything after the first pass is read from the staged rates."""
+    path = str(tmp_path / "rates")
+    spark.createDataFrame([("A", 0.5), ("B", 1.0)], RATES).write.parquet(path)
+    compared = compare_with_top(spark.read.parquet(path), "A")
+    assert path not in compared._jdf.queryExecution().executedPlan().toString()
+    assert compared.first().rank == 2

@@ -4,16 +4,24 @@ import gzip
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 
 from helpers import bag, incidents_of
 from precinct import schemas
 from precinct.sources import shared
-from precinct.sources.files import read_area_lookup, read_incidents
+from precinct.sources.files import (
+    files_by_header,
+    read_area_lookup,
+    read_incidents,
+    rejected_area_lookup,
+)
 from precinct.sources.staging import (
     read_staged_area_lookup,
+    read_staged_incident_counts,
     read_staged_incidents,
     stage_area_lookup,
     stage_incidents,
+    stage_months,
 )
 
 CANONICAL = ["incident_id", "period", "area_code", "area_name", "category"]
@@ -233,3 +241,96 @@ def test_local_mode_makes_its_own_folder():
     folder = shared.shared_dir(session)
     assert Path(folder).parent.is_dir()
     assert shared.shared_dir(session) == folder
+
+
+def reject_lines(folder):
+    return gzip_text(
+        folder / "lookup.gz",
+        [
+            lookup_line("d", "a", "12"),
+            lookup_line("d", "a", "twelve"),
+            lookup_line("d", "a", ""),
+            "postcode,inUse",
+            lookup_line("d", "b", "7").rsplit(",", 2)[0],
+            lookup_line("d", "c", "1.5"),
+            lookup_line("district", "lsoa_name", "population"),
+        ],
+    )
+
+
+def test_rejected_lines_and_only_those(spark, tmp_path):
+    path = reject_lines(tmp_path)
+    rejects = rejected_area_lookup(spark, path).collect()
+    assert sorted((r.line, r.reason) for r in rejects) == sorted(
+        [
+            (lookup_line("d", "a", "twelve"), "population is no integer"),
+            ("postcode,inUse", "too few fields"),
+            (lookup_line("d", "c", "1.5"), "population is no integer"),
+            (lookup_line("district", "lsoa_name", "population"), "population is no integer"),
+        ]
+    )
+    assert all(r.file.endswith("lookup.gz") for r in rejects)
+    # A short line with a population stays good, and an empty population is no error.
+    assert bag(read_area_lookup(spark, path)) == [("a", "d", 12), ("b", "d", 7)]
+
+
+def test_counts_are_a_by_product_of_the_scan(spark, tmp_path):
+    seen = Observation()
+    lookup = read_area_lookup(spark, reject_lines(tmp_path), counts=seen)
+    plan = lookup._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "CollectMetrics" in plan
+    assert lookup.count() == 2
+    assert seen.get == {"rows_read": 7, "without_population": 5}
+
+
+def header_files(folder):
+    one, other = list(schemas.RAW_INCIDENT_COLUMNS), [*reversed(schemas.RAW_INCIDENT_COLUMNS), "Notes"]
+    files = []
+    for k, names in enumerate((one, other, one)):
+        values = {"Crime ID": f"{k}", "Month": f"2020-0{k + 1}", "LSOA code": "c", "LSOA name": "n", "Crime type": "t"}
+        lines = [",".join(names), ",".join(values.get(n, "") for n in names), ",".join("" for _ in names)]
+        files.append(gzip_text(folder / f"{k}.csv.gz", lines))
+    return files
+
+
+def test_files_with_different_headers(spark, tmp_path):
+    files = header_files(tmp_path)
+    assert sorted(len(group) for group in files_by_header(spark, str(tmp_path)).values()) == [1, 2]
+    seen = Observation()
+    incidents = read_incidents(spark, files, mixed_headers=True, counts=seen)
+    plan = incidents._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2  # one for each header, not one for each file
+    assert bag(incidents, "incident_id", "period", "area_code", "area_name", "category") == [
+        (f"{k}", f"2020-0{k + 1}", "c", "n", "t") for k in range(3)
+    ]
+    assert seen.get == {"rows_read": 6, "without_id": 3}
+    with pytest.raises(Exception, match="header"):
+        read_incidents(spark, files).collect()
+    lacking = gzip_text(tmp_path / "x.csv.gz", ["Crime ID,Month", "1,2020-01"])
+    with pytest.raises(ValueError, match="lack"):
+        read_incidents(spark, [*files, lacking], mixed_headers=True)
+    empty = gzip_text(tmp_path / "y.csv.gz", [])
+    with pytest.raises(ValueError, match="no file"):
+        files_by_header(spark, empty)
+
+
+def test_a_month_staged_again_leaves_the_others(spark, tmp_path):
+    path = tmp_path / "months"
+
+    def month(period, *categories):
+        return incidents_of(spark, [(str(k), period, "c", "n", c) for k, c in enumerate(categories)])
+
+    def files(period):
+        return sorted(f.name for f in (path / f"period={period}").glob("*.parquet"))
+
+    stage_months(month("2020-01", "a", "a", "b"), str(path))
+    stage_months(month("2020-02", "a"), str(path))
+    first, second = files("2020-01"), files("2020-02")
+    stage_months(month("2020-02", "a", "c"), str(path))
+    stage_months(month("2020-02", "a", "c"), str(path))
+    assert files("2020-01") == first and files("2020-02") != second
+    counts = read_staged_incident_counts(spark, str(path))
+    assert bag(counts, "period", "category", "n_incidents") == [
+        ("2020-01", "a", 2), ("2020-01", "b", 1), ("2020-02", "a", 1), ("2020-02", "c", 1)
+    ]
+    assert "PartitionFilters: [isnotnull(period" in counts.where("period = '2020-02'")._jdf.queryExecution().executedPlan().toString()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from precinct import schemas
@@ -21,6 +21,7 @@ from precinct.operators.ranking import top_k
 from precinct.operators.series import previous_value
 from precinct.plans.association import association, chi_square, paired_counts
 from precinct.plans.profile import count_distinct_values, count_rows, distinct_values
+from precinct.plans.rank_association import permutation_test, rank_sums
 from precinct.plans.rates import (
     compare_with_top,
     joined_rate,
@@ -28,7 +29,12 @@ from precinct.plans.rates import (
     per_head_rate,
 )
 from precinct.plans.trend import average_change, period_change, period_counts, trend
-from precinct.sources.files import canonical_incidents, read_area_lookup, read_incidents
+from precinct.sources.files import (
+    canonical_incidents,
+    read_area_lookup,
+    read_incidents,
+    rejected_area_lookup,
+)
 from precinct.sources.shared import scratch_path
 from precinct.sources.staging import (
     read_staged_area_lookup,
@@ -37,6 +43,7 @@ from precinct.sources.staging import (
     stage_area_lookup,
     stage_incident_counts,
     stage_incidents,
+    stage_months,
 )
 from workload.views import (
     AREA_LOOKUP_SQL,
@@ -137,6 +144,51 @@ def scan_csv_reordered_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_incidents(spark, path)
 
 
+@query(CANONICAL_SQL)
+def scan_csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one call whose columns stand in two orders, one of them with a column more."""
+    raw = raw_incidents(spark, sf_dir)
+    early = F.col("Month") < "1995-01"
+    first = write_gzip_csv(raw.where(early).coalesce(2), "incidents", header=True)
+    noted = raw.where(~early).withColumn("Notes", F.lit("x"))
+    other = noted.select(*sorted(noted.columns, reverse=True)).coalesce(2)
+    return read_incidents(spark, [first, write_gzip_csv(other, "incidents", header=True)], mixed_headers=True)
+
+
+@query(with_views("""
+SELECT ',,,,,,,,' || district || ',,,,,,,,,,,n/a,,,,' || CAST(area_name AS VARCHAR) || ',,,' AS line,
+       'population is no integer' AS reason, TRUE AS in_file
+FROM area_lookup WHERE population % 3 = 0"""))
+def scan_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose population cannot be read, beside good ones and ones without a population."""
+    raw = raw_area_lookup(spark, sf_dir)
+    spoilt = F.when(F.col("population") % 3 == 0, "n/a").otherwise(F.col("population").cast("string"))
+    path = write_gzip_csv(raw.withColumn("population", spoilt), "lookup", header=False)
+    rejects = rejected_area_lookup(spark, path)
+    return rejects.select("line", "reason", F.col("file").contains("lookup-").alias("in_file"))
+
+
+@query(with_views("""
+SELECT (SELECT count(*) FROM incidents) AS incident_rows,
+       (SELECT count(*) FROM incidents WHERE incident_id IS NULL) AS without_id,
+       (SELECT count(*) FROM area_lookup) AS lookup_rows,
+       (SELECT count(*) FROM area_lookup WHERE population IS NULL) AS without_population"""))
+def count_rows_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read and dropped, counted while the files are staged, without a scan of their own."""
+    incident_files = write_gzip_csv(raw_incidents(spark, sf_dir), "incidents", header=True)
+    lookup_files = write_gzip_csv(raw_area_lookup(spark, sf_dir), "lookup", header=False)
+    incident_counts, lookup_counts = Observation(), Observation()
+    stage_incident_counts(
+        read_incidents(spark, incident_files, counts=incident_counts), scratch_path(spark, "staged-counts")
+    )
+    stage_area_lookup(read_area_lookup(spark, lookup_files, counts=lookup_counts), scratch_path(spark, "staged-lookup"))
+    seen, found = incident_counts.get, lookup_counts.get
+    return spark.createDataFrame(
+        [(seen["rows_read"], seen["without_id"], found["rows_read"], found["without_population"])],
+        "incident_rows bigint, without_id bigint, lookup_rows bigint, without_population bigint",
+    )
+
+
 @query(with_views("""
 SELECT district, CAST(area_name AS VARCHAR) AS area_name, population
 FROM area_lookup WHERE population IS NOT NULL"""))
@@ -162,6 +214,21 @@ def stage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_staged_incident_counts(spark, path)
 
 
+@query(with_views("""
+SELECT CAST(area_code AS VARCHAR) AS area_code, CAST(area_name AS VARCHAR) AS area_name, category,
+       count(*) AS n_incidents, period
+FROM identified WHERE period <> '1995-03' OR category <> '5-LOW' GROUP BY ALL"""), name="stage_months")
+def stage_months_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All months, and then a corrected version of one, which takes the place of the first."""
+    path = scratch_path(spark, "staged-months")
+    canonical = canonical_incidents(raw_incidents(spark, sf_dir))
+    stage_months(canonical, path)
+    month = canonical.where("period = '1995-03'")
+    for _ in range(2):
+        stage_months(month.where("category <> '5-LOW'"), path)
+    return read_staged_incident_counts(spark, path)
+
+
 @query(with_views(f"""
 SELECT district, CAST(sum(population) AS BIGINT) AS tot_population, count(*) AS tot_cases,
        {half_up("count(*) / nullif(sum(population), 0)", 3)} AS cases_per_head
@@ -685,3 +752,45 @@ def point_postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("postcode"),
     )
     return translate_points(located, points)
+
+
+def ranked_sql(key: str) -> str:
+    return with_views(pairs_sql(key) + """
+    , ranks AS (SELECT CAST(2 * rank() OVER (ORDER BY left_count) + count(*) OVER (PARTITION BY left_count) - 1 AS HUGEINT) AS x,
+                       CAST(2 * rank() OVER (ORDER BY right_count) + count(*) OVER (PARTITION BY right_count) - 1 AS HUGEINT) AS y
+                FROM pairs),
+      sums AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy FROM ranks),
+      found AS (SELECT n, CAST(n * xy - sx * sy AS DOUBLE)
+                          / sqrt(CAST(n * xx - sx * sx AS DOUBLE) * CAST(n * yy - sy * sy AS DOUBLE)) AS rho FROM sums)
+    SELECT n AS n_groups, rho, CASE WHEN abs(rho) < 1 THEN rho * sqrt((n - 2) / (1 - rho * rho)) END AS t_statistic FROM found""")
+
+
+@query(ranked_sql("area_code"))
+def association_ranked_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_sums(pairs_by(spark, sf_dir, "area_code"))
+
+
+@query(ranked_sql("district"))
+def association_ranked_district(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_sums(pairs_by(spark, sf_dir, "district"))
+
+
+@query(with_views(pairs_sql("area_code") + """
+    , shuffles AS (SELECT unnest(generate_series(0, 199)) AS b),
+      placed AS (SELECT b, left_count AS l, right_count AS r,
+                        row_number() OVER (PARTITION BY b ORDER BY md5('precinct:' || b || ':' || key), key) AS place
+                 FROM pairs CROSS JOIN shuffles),
+      met AS (SELECT other.b, first.l, other.r FROM placed first JOIN placed other USING (place)
+              WHERE first.b = 0 AND other.b > 0
+              UNION ALL SELECT -1, left_count, right_count FROM pairs),
+      cells AS (SELECT b, l, r, CAST(count(*) AS HUGEINT) AS o FROM met GROUP BY b, l, r),
+      lefts AS (SELECT left_count AS l, count(*) AS n_l FROM pairs GROUP BY left_count),
+      rights AS (SELECT right_count AS r, count(*) AS n_r FROM pairs GROUP BY right_count),
+      shares AS (SELECT b, sum(o * o * 1000000000000 // (n_l * n_r)) AS share
+                 FROM cells JOIN lefts USING (l) JOIN rights USING (r) GROUP BY b),
+      counted AS (SELECT (SELECT count(*) FROM pairs) AS n_groups, 199 AS n_shuffles, count(*) AS n_at_least
+                  FROM shares WHERE b > 0 AND share >= (SELECT share FROM shares WHERE b = -1))
+    SELECT n_groups, n_shuffles, n_at_least, (n_at_least + 1) / 200 AS p_value, (n_at_least + 1) / 200 < 0.05 AS associated
+    FROM counted"""))
+def association_shuffled_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_test(pairs_by(spark, sf_dir, "area_code"))
