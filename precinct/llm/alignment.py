@@ -22,6 +22,7 @@ import re
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -50,12 +51,22 @@ TEXTS = 256
 BITS = 24
 
 _cut = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
-_ends, _starts = re.compile(r"[\w!-~]\Z"), re.compile(r" [\w!-~]")
 _byte_piece = re.compile(r"<0x([0-9A-F]{2})>")
 _UNDERLINE = "▁"
 _COUNTS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
 
 
+def _is_visible(letter: str) -> bool:
+    """The same letters as in the pattern above."""
+    return "!" <= letter <= "~" or letter.isalnum()
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; faster here than a table of them."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 class Aligned(NamedTuple):
     """Alignments of several pieces. Keys and groups stand one piece after the other."""
 
@@ -128,7 +139,8 @@ class Aligner:
             return pieces
         runs, own = [], []
         for piece in pieces:
-            if own and not (len(own) < RUN and _ends.search(own[-1]) and _starts.match(piece)):
+            joins = len(piece) > 1 and piece[0] == " " and _is_visible(piece[1])
+            if own and not (joins and len(own) < RUN and _is_visible(own[-1][-1])):
                 runs.append("".join(own))
                 own = []
             own.append(piece)
@@ -138,8 +150,8 @@ class Aligner:
         """Ids of all texts, and whether they give ``data`` with a token ending at all ``ends``."""
         ones = self.a.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         others = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
-        a = np.array([k for one in ones for k in one.ids], np.int64)
-        b = np.array([k for other in others for k in other], np.int64)
+        a = np.fromiter(chain.from_iterable(one.ids for one in ones), np.int64)
+        b = np.fromiter(chain.from_iterable(others), np.int64)
         right = True
         for ids, parts, lengths in ((a, self.a_bytes, self.a_sizes), (b, self.b_bytes, self.b_sizes)):
             right = (
@@ -153,7 +165,7 @@ class Aligner:
     def _matched(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, valid: np.ndarray, with_groups: bool) -> Aligned:
         a_ends, b_ends, piece_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]), np.cumsum(sizes)
         # Between two ends of either kind there is one token of each: an overlap.
-        ends = np.unique(np.concatenate([a_ends, b_ends]))
+        ends = _distinct(np.concatenate([a_ends, b_ends]))
         i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
         count = lambda at: np.bincount(np.searchsorted(piece_ends, at), minlength=len(sizes))
         both = (a_ends[i] == ends) & (b_ends[j] == ends) if len(ends) else np.empty(0, bool)
@@ -184,7 +196,7 @@ class _Memory:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.chars = 0
+        self.chars, self.all_valid = 0, True
         self.keys = np.empty(0, np.int64)
         self.starts = np.zeros(1, np.int64)
         self.numbers = np.zeros((0, 6), np.int64)
@@ -209,19 +221,21 @@ class _Memory:
         if len(self.known) > PIECES or self.chars > PIECES * PIECE_CHARS:
             self.clear()
         cut = [self.own.pieces(t) if t else [] for t in texts]
-        new = [p for p in dict.fromkeys(p for pieces in cut for p in pieces) if p not in self.known]
-        self.known.update(zip(new, self.add(new)))
+        new = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.known]
+        added = self.add(new)
+        self.known.update(zip(new, added))
+        self.all_valid &= -1 not in added
         self.chars += sum(map(len, new))
         places = []
         for text, pieces in zip(texts, cut):
-            own = [self.known[p] for p in pieces]
-            if -1 in own:
+            own = list(map(self.known.__getitem__, pieces))
+            if not self.all_valid and -1 in own:
                 # Only the whole text decides whether its bytes come back.
                 own = self.add([" " + text])
                 own = [] if own[0] < 0 else own
             places.append(own)
         bounds = np.r_[0, np.cumsum([len(own) for own in places])].astype(np.int64)
-        return np.array([k for own in places for k in own], np.int64), bounds
+        return np.fromiter(chain.from_iterable(places), np.int64, int(bounds[-1])), bounds
 
     def distinct_keys(self, places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The keys of all texts, each as often as texts have it."""
@@ -229,7 +243,7 @@ class _Memory:
         before = np.cumsum(lengths) - lengths
         at = np.repeat(self.starts[places] - before, lengths) + np.arange(lengths.sum())
         text = np.repeat(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), lengths)
-        return np.unique(text << (2 * BITS) | self.keys[at]) & ((1 << 2 * BITS) - 1)
+        return _distinct(text << (2 * BITS) | self.keys[at]) & ((1 << 2 * BITS) - 1)
 
 
 _kept: dict[tuple, _Memory] = {}
@@ -245,12 +259,16 @@ def _remembered(name: tuple, make) -> _Memory:
 
 def _merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Add one to the count of a key for each time it is in ``more``."""
-    both = np.concatenate([keys, more])
-    weights = np.concatenate([counts, np.ones(len(more), np.int64)])
-    distinct, at = np.unique(both, return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, at, weights)
-    return distinct, total
+    more = np.sort(more)
+    starts = np.flatnonzero(np.r_[True, more[1:] != more[:-1]]) if len(more) else np.empty(0, np.int64)
+    new, times = more[starts], np.diff(np.r_[starts, len(more)])
+    at = np.searchsorted(keys, new)
+    there = keys[np.minimum(at, len(keys) - 1)] == new if len(keys) else np.zeros(len(new), bool)
+    counts = counts.copy()
+    counts[at[there]] += times[there]
+    if not there.all():
+        keys, counts = np.insert(keys, at[~there], new[~there]), np.insert(counts, at[~there], times[~there])
+    return keys, counts
 
 
 def _pair_counter(byte_file: str, piece_file: str):
