@@ -4,7 +4,9 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 and read again as the next one's documents. All but the last return the columns they got.
 
 1. language: the language network, trained on the documents themselves, drops texts without
-   letters and texts whose best language has a probability below 0.35.
+   letters and texts whose best language is not probable enough: less than 0.6 of the way from
+   chance to certainty, which is 0.7 for four languages. Where no document has a language
+   there is nothing to learn from, and all texts with letters stay.
 2. near duplicates: one document of each class of similar texts stays.
 3. decontamination: documents with a benchmark passage by the contamination rule go.
 4. secrets: secrets are replaced by a mark; every document stays.
@@ -18,15 +20,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precinct.llm import decontaminate, language, mixing, near_duplicates, secrets
-from precinct.llm.tables import staged
+from precinct.llm.tables import staged, text_of
 
-LEAST_SCORE = 0.35
+LEAST_CERTAINTY = 0.6
+
+
+def least_score(languages: int) -> float:
+    """The probability a text's best language must have, with so many to choose from."""
+    chance = 1 / languages
+    return chance + LEAST_CERTAINTY * (1 - chance) - 1e-6
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = language.learn(docs)
+    if net is None:
+        return docs.where(text_of(docs).rlike(r"\p{L}"))
     judged = language.identify(docs, net, keep=docs.columns)
-    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least_score(len(net.languages)))
     return judged.where(known).select("row.*")
 
 
