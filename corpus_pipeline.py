@@ -4,9 +4,9 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 and read again as the next one's documents. All but the last return the columns they got.
 
 1. language: the language network, trained on the documents themselves, drops texts without
-   letters and texts whose best language is not probable enough: less than 0.6 of the way from
-   chance to certainty, which is 0.7 for four languages. Where no document has a language
-   there is nothing to learn from, and all texts with letters stay.
+   letters and texts whose best language is not probable enough: less than 2/15 of the way
+   from chance to certainty, which is 0.35 for four languages. Where no document has a
+   language there is nothing to learn from, and all texts with letters stay.
 2. near duplicates: one document of each class of similar texts stays.
 3. decontamination: documents with a benchmark passage by the contamination rule go.
 4. secrets: secrets are replaced by a mark; every document stays.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from precinct.llm import decontaminate, language, mixing, near_duplicates, secrets
 from precinct.llm.tables import staged, text_of
 
-LEAST_CERTAINTY = 0.6
+LEAST_CERTAINTY = 2 / 15
 
 
 def least_score(languages: int) -> float:
