@@ -169,6 +169,8 @@ def balance(sizes: DataFrame, targets: DataFrame, *, cap: int = CAP) -> DataFram
         worst = state.agg(F.max("error")).first()[0]
         if worst is None or worst < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the tilts did not settle in {MAX_STEPS} steps")
     # The last digits depend on the order of sums; dropping them makes runs agree.
     return state.select(
         *targets.columns, "mean_size", "full", F.round("tilt", 6).alias("tilt")

@@ -37,6 +37,18 @@ def test_language_stage_keeps_clean_documents(steps):
     assert set(after) <= set(before) and len(after) >= 0.98 * len(before)
 
 
+def test_language_stage_without_labels_keeps_texts_with_letters(spark, sf_dir):
+    rows = [(1, "words", None, "a", 5), (2, "12 34", None, "a", 5), (3, None, None, "a", 0), (4, "слова", None, "a", 5)]
+    docs = spark.createDataFrame(rows, brute.DOCUMENTS)
+    kept = corpus_pipeline.keep_known_languages(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 4}
+
+
+def test_least_score_grows_from_chance():
+    assert [round(corpus_pipeline.least_score(k), 3) for k in (1, 2, 4, 10)] == [1.0, 0.567, 0.35, 0.22]
+    assert corpus_pipeline.least_score(1) < 1
+
+
 def test_one_document_of_each_class_stays(steps):
     before, after = by_id(steps[1]), by_id(steps[2])
     docs = sorted((k, row.text) for k, row in before.items())
