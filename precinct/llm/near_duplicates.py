@@ -4,10 +4,17 @@
    Texts with the same set are one node from here on.
 2. Nodes sharing a band hash are candidates. Each bucket only links its members to its
    smallest node; the components of these links hold all pairs that share any band.
-3. A component's sets meet in one task, which compares them. A component too large for that
-   is compared bucket by bucket, and a bucket too large block by block, each pair in the
-   first band its nodes share. No candidate is left out for size, and no pair is ever a row:
-   tasks return links per node and the links that hold a class together.
+3. A component's sets meet in one task, which compares them.
+4. In a component too large for that, nodes first gather in balls: each is compared with one
+   centre, the smallest node of most of its buckets, and joins it at a similarity of
+   (1 + threshold) / 2. Jaccard distance obeys the triangle inequality, so all pairs of a
+   ball are links, and none of them needs comparing.
+5. Pairs of different balls are compared bucket by bucket, and a bucket too large block by
+   block, each pair in the first band its nodes share. A ball larger than a block has blocks
+   of its own, which only meet those of others.
+
+No candidate is left out for size, and no pair is ever a row: tasks return links per node and
+the links that hold a class together.
 """
 
 from __future__ import annotations
@@ -19,9 +26,8 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from precinct.llm.components import connected
 from precinct.llm.tables import WORD_BYTES, column, map_texts, staged, text_of
@@ -33,6 +39,8 @@ RECALL = 0.999
 # Nodes, and n-grams of their sets, that meet in one task.
 BLOCK_NODES = 256
 BLOCK_GRAMS = 2_000_000
+# Rounds that gather nodes of large components in balls.
+ROUNDS = 4
 
 _words = re.compile(WORD_BYTES)
 _SIGNED = "digest binary, n_grams bigint, bands array<bigint>"
@@ -102,15 +110,8 @@ def _signer(n: int, bands: int, rows: int):
 def _gram_reader(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, right = [], []
-            for value, digest in zip(batch["text"], batch["digest"].to_pylist()):
-                own = grams(value.as_py(), n)
-                right.append(xxhash.xxh3_128_digest(own.tobytes()) == digest)
-                sets.append(own.view(np.int64))
-            row = batch.drop_columns(["text"])
-            made = row.append_column("grams", pa.array(sets, pa.list_(pa.int64())))
-            # Another text under the same document id does not stand for this digest.
-            yield made.filter(pa.array(right))
+            sets = [grams(value.as_py(), n).view(np.int64) for value in batch["text"]]
+            yield batch.drop_columns(["text"]).append_column("grams", pa.array(sets, pa.list_(pa.int64())))
 
     return run
 
@@ -140,10 +141,6 @@ def _verifier(threshold: float):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         band, one, two = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        first = {}
-        for k, digest in enumerate(table["digest"].to_pylist()):
-            first.setdefault(digest, k)  # a document may stand in the table twice
-        table = table.take(pa.array(sorted(first.values())))
         digests = table["digest"].to_pylist()
         weights = np.array(table["copies"].to_pylist(), np.int64)
         sizes = np.array(table["n_grams"].to_pylist(), np.float64)
@@ -161,6 +158,9 @@ def _verifier(threshold: float):
             for earlier in range(band):
                 linked &= bands[:, None, earlier] != bands[None, :, earlier]
             linked &= bands[:, None, band] == bands[None, :, band]
+            # Links within a ball are known without comparing.
+            _, ball = np.unique(np.array(table["centre"].to_pylist(), object), return_inverse=True)
+            linked &= ball[:, None] != ball[None, :]
         links = linked @ weights
         roots = list(range(len(digests)))
         for start in sorted(range(len(digests)), key=digests.__getitem__):
@@ -187,14 +187,141 @@ def _verifier(threshold: float):
 
 
 def document_key(docs: DataFrame) -> Column:
-    """Tells documents apart: equal keys only for the same id and text."""
+    """Tells documents apart: equal keys only for the same id and text (128 bits of digest)."""
     return F.concat_ws(
-        ":", F.coalesce(column("doc_id").cast("string"), F.lit("null")), F.xxhash64(text_of(docs))
+        ":",
+        F.coalesce(column("doc_id").cast("string"), F.lit("null")),
+        F.xxhash64(text_of(docs)),
+        F.xxhash64(F.lit(1), text_of(docs)),
+    )
+
+
+def _gathered(parts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Balls of the nodes in ``parts`` (band, bucket, digest): (digest, centre), a row per node.
+
+    In each round every open node picks the smallest open node of most of its buckets. Nodes
+    that pick themselves are centres; the others are compared with a centre they picked and
+    join its ball if similar enough. Nodes still open after the rounds are their own balls:
+    rounds only save comparisons, and results do not depend on their number.
+    """
+    tight = (1 + threshold) / 2
+    everyone = parts.select("digest").distinct()
+    open_ = parts.select("band", "bucket", "digest")
+    own = sets.select("digest", "n_grams", "grams")
+    centres = sets.select(
+        F.col("digest").alias("centre"), F.col("n_grams").alias("other"), F.col("grams").alias("centre_grams")
     )
+    found = None
+    for _ in range(ROUNDS):
+        lowest = staged(open_.groupBy("band", "bucket").agg(F.min("digest").alias("centre")), "lowest")
+        picks = staged(
+            open_.join(lowest, ["band", "bucket"])
+            .groupBy("digest", "centre")
+            .agg(F.count(F.lit(1)).alias("times"))
+            .groupBy("digest")
+            .agg(F.max(F.struct("times", "centre"))["centre"].alias("centre")),
+            "picks",
+        )
+        alone = picks.where("digest = centre")
+        shared = F.size(F.array_intersect("grams", "centre_grams"))
+        joined = (
+            picks.where("digest != centre")
+            .join(alone.select("centre"), "centre", "left_semi")
+            .join(own, "digest")
+            .join(centres, "centre")
+            .withColumn("shared", shared)
+            .where(F.col("shared") >= tight * (F.col("n_grams") + F.col("other") - F.col("shared")) + 1e-9)
+            .select("digest", "centre")
+        )
+        joined = staged(joined, "joined")
+        settled = joined.unionByName(alone)
+        found = settled if found is None else found.unionByName(settled)
+        if joined.isEmpty():
+            break
+        open_ = staged(open_.join(settled.select("digest"), "digest", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    return staged(
+        everyone.join(found, "digest", "left").withColumn("centre", F.coalesce("centre", "digest")), "balls"
+    )
+
 
+def _cut(members: DataFrame, block_nodes: int, block_grams: int) -> DataFrame:
+    """Comparisons of ``members`` (band, bucket, digest, n_grams, centre): a row per node and
+    pair of blocks.
 
-def _units(nodes: DataFrame, buckets: DataFrame, block_nodes: int, block_grams: int) -> DataFrame:
-    """Which comparisons each node takes part in: (digest, jobs array of unit, band, blocks)."""
+    A bucket's blocks are numbered throughout: those of each ball that fills a block or more,
+    and those that the other nodes share. The former never meet blocks of their own ball.
+    """
+    place = ["band", "bucket"]
+    weight = F.greatest(F.count(F.lit(1)) / F.lit(block_nodes), F.sum("n_grams") / F.lit(block_grams))
+    large = staged(
+        members.groupBy(*place, "centre").agg(weight.alias("weight")).where("weight >= 1").drop("weight"),
+        "large-balls",
+    )
+    group = F.when(F.col("is_large"), F.col("centre"))
+    grouped = staged(
+        members.join(large.withColumn("is_large", F.lit(True)), [*place, "centre"], "left")
+        .withColumn("group", F.coalesce(group, F.lit(b"")))
+        .drop("is_large"),
+        "grouped-members",
+    )
+    so_far = Window.partitionBy(*place).orderBy("group")
+    blocks = (
+        grouped.groupBy(*place, "group")
+        .agg(F.ceil(weight).cast("int").alias("blocks"))
+        .withColumn("start", (F.sum("blocks").over(so_far) - F.col("blocks")).cast("int"))
+        .withColumn("all", F.sum("blocks").over(Window.partitionBy(*place)).cast("int"))
+    )
+    end = F.col("start") + F.col("blocks")
+    others = F.when(F.col("group") == F.lit(b""), F.sequence(F.lit(0), F.col("all") - 1)).otherwise(
+        # Blocks before and after those of the ball itself.
+        F.concat(
+            F.slice(F.sequence(F.lit(0), F.col("start")), F.lit(1), F.col("start")),
+            F.slice(F.sequence(end, F.greatest(end, F.col("all"))), F.lit(1), F.col("all") - end),
+        )
+    )
+    return (
+        grouped.join(staged(blocks, "blocks"), [*place, "group"])
+        .withColumn("block", F.col("start") + F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(others))
+        .select(
+            "digest",
+            "centre",
+            F.col("bucket").cast("string").cast("binary").alias("unit"),
+            "band",
+            F.least("block", "other").alias("one"),
+            F.greatest("block", "other").alias("two"),
+            "block",
+        )
+    )
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Nodes in ``wanted`` with their n-grams, read from one document each.
+
+    Rows repeated with id and text are reduced to one by partial aggregates, before any
+    n-grams are made.
+    """
+    texts = (
+        docs.select(document_key(docs).alias("key"), text_of(docs).alias("text"))
+        .join(wanted.select("key", "digest"), "key")
+        .groupBy("digest")
+        .agg(F.first("text").alias("text"))
+    )
+    read = texts.mapInArrow(_gram_reader(n), "digest binary, grams array<bigint>")
+    return staged(read.join(wanted.drop("key"), "digest"), "sets")
+
+
+def comparisons(
+    docs: DataFrame, nodes: DataFrame, buckets: DataFrame, *,
+    n: int, threshold: float, block_nodes: int, block_grams: int,
+) -> tuple[DataFrame, DataFrame]:
+    """What the verifier has to compare, and the links known without.
+
+    The first table has a row per node and comparison (unit, band, one, two) it takes part
+    in, with its n-grams; the second has (digest, links, root) of nodes in balls.
+    """
     members = staged(buckets, "members")
     grouped = connected(members.select("digest", "first"), "digest", "first", "candidates")
     grouped = staged(
@@ -209,36 +336,35 @@ def _units(nodes: DataFrame, buckets: DataFrame, block_nodes: int, block_grams:
         .select("root", "whole"),
         "component-sizes",
     )
+    wanted = nodes.join(grouped.select("digest"), "digest", "left_semi").select(
+        "digest", "copies", "n_grams", "bands", F.col("chosen.key").alias("key")
+    )
+    sets = _sets(docs, wanted, n)
     placed = grouped.join(sized, "root")
     zero = F.lit(0)
     whole = placed.where("whole").select(
-        "digest",
-        F.struct(
-            F.col("root").alias("unit"), F.lit(-1).alias("band"), zero.alias("one"),
-            zero.alias("two"), zero.alias("block"),
-        ).alias("job"),
+        "digest", F.col("digest").alias("centre"), F.col("root").alias("unit"), F.lit(-1).alias("band"),
+        zero.alias("one"), zero.alias("two"), zero.alias("block"),
     )
-    parts = members.join(placed.where(~F.col("whole")).select("digest", "n_grams"), "digest")
-    blocks = F.ceil(
-        F.greatest(F.count(F.lit(1)) / F.lit(block_nodes), F.sum("n_grams") / F.lit(block_grams))
-    ).cast("int")
-    parts = staged(parts, "parts")
-    counted = staged(parts.groupBy("band", "bucket").agg(blocks.alias("blocks")), "blocks")
-    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    cut = (
-        parts.join(counted, ["band", "bucket"])
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-        .select(
-            "digest",
-            F.struct(
-                F.col("bucket").cast("string").cast("binary").alias("unit"), "band",
-                F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-                "block",
-            ).alias("job"),
-        )
+    parts = staged(
+        members.select("band", "bucket", "digest").join(
+            placed.where(~F.col("whole")).select("digest", "n_grams"), "digest"
+        ),
+        "parts",
     )
-    return whole.unionByName(cut).groupBy("digest").agg(F.collect_list("job").alias("jobs"))
+    jobs, known = whole, None
+    if not parts.isEmpty():
+        balls = _gathered(parts, sets, threshold)
+        cut = _cut(parts.join(balls, "digest"), block_nodes, block_grams)
+        jobs = whole.unionByName(cut)
+        weighed = staged(balls.join(nodes.select("digest", "copies"), "digest"), "weighed-balls")
+        total = staged(weighed.groupBy("centre").agg(F.sum("copies").alias("total")), "ball-totals")
+        known = (
+            weighed.join(total, "centre")
+            .where("total > copies")
+            .select("digest", (F.col("total") - F.col("copies")).alias("links"), F.col("centre").alias("root"))
+        )
+    return staged(jobs, "jobs").join(sets, "digest"), known
 
 
 def near_duplicates(
@@ -265,7 +391,9 @@ def near_duplicates(
 
     Memory per task is bounded by ``block_nodes`` and ``block_grams``, of which one or two
     blocks meet, whatever the size of a group of copies. A text longer than that is a block
-    of its own.
+    of its own. Work grows in proportion to a group whose texts are all close to a few
+    centres; texts of a large group that are not are compared in pairs of blocks, since
+    exact numbers of links need it.
 
     A null or empty text, or one without words, has no n-grams, links to nothing and is its
     own class. Repeated rows are copies of each other. Null ids are allowed; a class all of
@@ -298,23 +426,14 @@ def near_duplicates(
         "shared-buckets",
     )
     buckets = placed.join(shared, ["band", "bucket"])
-    jobs = (
-        _units(nodes, buckets, block_nodes, block_grams)
-        .join(nodes.select("digest", "copies", "n_grams", "bands", F.col("chosen.key").alias("key")), "digest")
-    )
-    jobs = staged(jobs, "jobs")
-    texts = docs.select(key, text_of(docs).alias("text")).join(jobs, "key")
-    ordered = texts.select("text", *jobs.columns)
-    read = ordered.mapInArrow(
-        _gram_reader(n),
-        ordered.drop("text").schema.add("grams", ArrayType(LongType())),
+    jobs, known = comparisons(
+        docs, nodes, buckets, n=n, threshold=threshold, block_nodes=block_nodes, block_grams=block_grams
     )
-    compared = (
-        read.withColumn("job", F.explode("jobs"))
-        .select("digest", "copies", "n_grams", "bands", "grams", "job.*")
-        .groupBy("unit", "band", "one", "two")
-        .applyInArrow(_verifier(threshold), "digest binary, links bigint, root binary")
+    compared = jobs.groupBy("unit", "band", "one", "two").applyInArrow(
+        _verifier(threshold), "digest binary, links bigint, root binary"
     )
+    if known is not None:
+        compared = compared.unionByName(known)
     compared = staged(compared, "compared")
     classes = connected(compared, "digest", "root", "classes").withColumnRenamed("node", "digest")
     links = compared.groupBy("digest").agg(F.sum("links").alias("links"))
