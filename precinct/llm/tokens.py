@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from precinct.llm.tables import column, ship_package, staged, text_of
 CACHE_SCHEMA = "digest string, n_tokens bigint"
 # Pieces whose counts a worker remembers; the memory starts again when it is full.
 PIECES = 500_000
+# Misses whose digests are broadcast, 64 bytes each.
+FEW = 100_000
 
 # A byte-level tokenizer starts a new unit at a single space between two characters that are
 # not white space, so a text may be cut there and counted by its pieces.
@@ -114,8 +117,12 @@ def content_digest(text: Column, version: str) -> Column:
 
 def _read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache, empty where nothing was written to it yet."""
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(path)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    try:
+        return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE_SCHEMA)
 
 
 def count_tokens(
@@ -130,11 +137,11 @@ def count_tokens(
     ``tokenizer`` is a file every executor can read, ``cache`` a Parquet folder in shared
     storage that may be used again for any documents and tokenizers.
 
-    Of each content the cache lacks, one document is chosen to be encoded: the one whose
-    ``row`` has the smallest JSON, so a content of very many copies is reduced by partial
-    aggregates to one row and never meets in one task. A run that fails
-    before the append leaves the cache as it was. Repeated digests in the cache, as two
-    concurrent runs can leave, are counted once.
+    Each content the cache lacks is encoded once: partial aggregates keep one text a digest
+    before anything is shuffled, so a content of very many rows never meets in one task. Up to
+    ``FEW`` misses are broadcast as digests, so that the other texts stay where they are. A run
+    that fails before the append leaves the cache as it was, and one without misses writes
+    nothing. Repeated digests in the cache, as two concurrent runs can leave, are counted once.
 
     Null text counts as empty, with 0 tokens. Repeated documents each give a row, and an
     empty table gives none.
@@ -144,7 +151,7 @@ def count_tokens(
     version = tokenizer_digest(tokenizer)
     text = F.coalesce(text_of(docs), F.lit(""))
     digest = content_digest(text, version)
-    # Narrow: no text. ``key`` tells documents apart; equal keys hold equal contents.
+    # Narrow: no text.
     digests = staged(
         docs.select(
             F.struct(*[column(name) for name in keep]).alias("row"),
@@ -153,24 +160,20 @@ def count_tokens(
         ),
         "digests",
     )
-    known = _read_cache(spark, cache)
-    misses = (
-        digests.groupBy("digest")
-        .agg(F.min(F.to_json(F.struct("row"))).alias("chosen"))
-        .join(known.select("digest"), "digest", "left_anti")
-    )
-    # Both sides are unique by (digest, chosen) up to documents that are equal throughout.
-    texts = docs.select(
-        digest.alias("digest"),
-        F.to_json(F.struct(F.struct(*[column(name) for name in keep]).alias("row"))).alias("chosen"),
-        text.alias("text"),
-    )
-    encoded = (
-        texts.join(misses, ["digest", "chosen"], "left_semi")
-        .select("digest", "text")
-        .mapInArrow(_encoder(tokenizer), CACHE_SCHEMA)
-    )
-    encoded.write.mode("append").parquet(cache)
+    known = _read_cache(spark, cache).select("digest")
+    misses = staged(digests.select("digest").distinct().join(known, "digest", "left_anti"), "misses")
+    n_misses = misses.count()
+    if n_misses:
+        texts = docs.select(digest.alias("digest"), text.alias("text"))
+        if n_misses <= FEW:
+            texts = texts.join(F.broadcast(misses), "digest", "left_semi")
+        encoded = (
+            texts.groupBy("digest")
+            .agg(F.first("text").alias("text"))
+            .join(misses, "digest", "left_semi")
+            .mapInArrow(_encoder(tokenizer), CACHE_SCHEMA)
+        )
+        encoded.write.mode("append").parquet(cache)
     counts = (
         _read_cache(spark, cache).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     )

@@ -71,3 +71,20 @@ def test_trouble(spark, trouble, nothing):
         (repr(row[0]), n) for row, n in zip(brute.TROUBLE, whole([row[1] or "" for row in brute.TROUBLE]))
     )
     assert tokens.count_tokens(nothing, JSON, scratch_path(spark, "cache")).count() == 0
+
+
+def test_equal_rows_are_encoded_once_and_hits_write_nothing(spark, monkeypatch):
+    rows = [(1, "the same text")] * 2_000 + [(2, "another"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    for few in (tokens.FEW, 0):  # with the misses broadcast, and without
+        monkeypatch.setattr(tokens, "FEW", few)
+        cache = scratch_path(spark, "cache")
+        found = tokens.count_tokens(docs, JSON, cache).collect()
+        assert len(found) == 2_003
+        assert {(r.row.doc_id, r.n_tokens) for r in found} == {
+            (1, whole(["the same text"])[0]), (2, whole(["another"])[0]), (3, 0), (4, 0)
+        }
+        assert spark.read.parquet(cache).count() == 3
+        files = set(spark.read.parquet(cache).inputFiles())
+        tokens.count_tokens(docs, JSON, cache).collect()
+        assert set(spark.read.parquet(cache).inputFiles()) == files
