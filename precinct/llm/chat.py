@@ -4,10 +4,12 @@ Prefix sums of turn tokens place every turn on a line that is ruled into cells o
 window's capacity. Turns that begin and end in one cell fit a window together. A turn that
 crosses into the next cell joins them if the sum still fits, and is a window of its own
 otherwise. So windows keep to the budget without any pass from turn to turn; only a turn
-that is larger than the capacity exceeds it, and is kept whole.
+that is larger than the budget exceeds it, and is kept whole and alone.
 
-Each window repeats the system turn and the last turns before it, up to a limit. The loss
-mask covers the assistant texts of a window's own turns, so each is a target exactly once.
+Each window repeats the system turn and the last turns before it, up to a limit. Repeats only
+take what the budget leaves: a long system turn shortens the history, one of more than three
+quarters of the budget is a window of its own and not repeated, and a turn that would exceed
+the budget beside the system turn stands without it. The loss mask covers the assistant texts of a window's own turns, so each is a target exactly once.
 """
 
 from __future__ import annotations
@@ -121,12 +123,14 @@ def format_windows(
     ``loss`` (code-point spans of the targets in ``formatted``).
 
     Turns go by number, null last; turns of one number by role and text. A first turn of role
-    ``system`` is repeated in every later window, and counts against the budget. Null roles
+    ``system`` is repeated in every later window and counts against the budget; if it takes more
+    than three quarters of that, it is a window of its own and not repeated. Null roles
     and texts are empty. A null conv_id is a conversation of its own. Repeated rows are
     repeated turns. An empty table gives no windows. Roles and texts may hold anything: their
     control strings are escaped, and ``read_windows`` gives them back unchanged.
 
-    No conversation is gathered: a window holds at most ``budget`` tokens, or a single turn.
+    No conversation is gathered: a window, repeats included, holds at most ``budget`` tokens,
+    or a single turn that is larger.
     """
     if not 0 < history <= budget // 4:
         raise ValueError("history must be between 1 and a quarter of the budget")
@@ -135,16 +139,26 @@ def format_windows(
     systems = placed.where(opening & (F.col("role") == SYSTEM)).select(
         "conv", F.col("text").alias("system_text"), F.col("tokens").alias("system_tokens")
     )
-    capacity = F.greatest(
-        F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0)), F.lit(budget // 4)
-    )
-    at = F.col("at") - F.coalesce("system_tokens", F.lit(0))
+    system_tokens = F.coalesce("system_tokens", F.lit(0))
+    # Turns have a quarter of the budget at least; what the system turn leaves is history's.
+    retained = system_tokens <= budget - budget // 4
+    spare = F.least(F.lit(history), budget - budget // 4 - system_tokens)
+    at = F.col("at") - system_tokens
     ruled = (
         placed.join(staged(systems, "systems"), "conv", "left")
         .withColumn("is_system", opening & (F.col("role") == SYSTEM))
-        .withColumn("capacity", capacity)
+        .withColumn("retained", retained)
+        .withColumn("history", F.when(F.col("retained"), spare).otherwise(F.lit(history)))
+        .withColumn(
+            "capacity", budget - F.col("history") - F.when(F.col("retained"), system_tokens).otherwise(0)
+        )
         .withColumn("at", F.when(F.col("is_system"), F.lit(-1)).otherwise(at))
-        .withColumn("cell", F.floor(F.greatest("at", F.lit(0)) / F.col("capacity")))
+        .withColumn(
+            "cell",
+            F.when(F.col("is_system") & ~F.col("retained"), F.lit(-1)).otherwise(
+                F.floor(F.greatest("at", F.lit(0)) / F.col("capacity"))
+            ),
+        )
         .withColumn(
             "crosses",
             ~F.col("is_system") & (F.floor((F.col("at") + F.col("tokens") - 1) / F.col("capacity")) > F.col("cell")),
@@ -169,27 +183,40 @@ def format_windows(
         F.first("conv_id").alias("conv_id"),
         F.min("at").alias("window"),
         F.first("system_text").alias("system_text"),
+        F.first("system_tokens").alias("system_tokens"),
+        F.first("retained").alias("retained"),
+        F.first("history").alias("history"),
+        F.sum("tokens").alias("own_tokens"),
         F.max("is_system").alias("opens"),
         F.sort_array(F.collect_list(segment)).alias("own"),
     )
-    own = staged(own, "own-turns")
+    with_system = (
+        F.col("system_text").isNotNull()
+        & F.col("retained")
+        & ~F.col("opens")
+        & (F.col("own_tokens") + F.col("system_tokens") <= budget)
+    )
+    left = budget - F.col("own_tokens") - F.when(F.col("with_system"), F.col("system_tokens")).otherwise(0)
+    own = staged(
+        own.withColumn("with_system", with_system).withColumn("reach", F.least("history", left)), "own-turns"
+    )
     # A window looks back at most ``history`` tokens: two stretches of that length.
     stretch = F.floor(F.greatest("window", F.lit(0)) / F.lit(history))
-    looking = own.where("window > 0").select(
-        "conv", "cell", "apart", "window", F.explode(F.array(stretch - 1, stretch)).alias("stretch")
+    looking = own.where("window > 0 AND reach > 0").select(
+        "conv", "cell", "apart", "window", "reach", F.explode(F.array(stretch - 1, stretch)).alias("stretch")
     )
     earlier = assigned.where(~F.col("is_system")).select(
         "conv", segment.alias("segment"), "at", "tokens", F.floor(F.col("at") / history).alias("stretch")
     )
     before = (
         looking.join(earlier, ["conv", "stretch"])
-        .where((F.col("at") >= F.col("window") - history) & (F.col("at") + F.col("tokens") <= F.col("window")))
+        .where((F.col("at") >= F.col("window") - F.col("reach")) & (F.col("at") + F.col("tokens") <= F.col("window")))
         .groupBy("conv", "cell", "apart")
         .agg(F.sort_array(F.collect_list("segment")).alias("before"))
     )
     none = F.array().cast("array<struct<place:bigint,role:string,text:string>>")
     system = F.when(
-        F.col("system_text").isNotNull() & ~F.col("opens"),
+        F.col("with_system"),
         F.array(
             F.struct(
                 F.lit(0).cast("long").alias("place"),

@@ -101,3 +101,38 @@ def test_trouble(spark):
     found = chat.conversation_digests(chat.format_windows(frame)).collect()
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in found} == expected(rows)
     assert chat.format_windows(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def long_systems(seed: int):
+    rng = random.Random(seed)
+    rows = []
+    for conv, size in enumerate([*range(0, 600, 40), 319, 320, 321, 383, 384, 385, 447, 511, 512, 600]):
+        rows.append((conv, 0, "system", "s " * size))
+        for turn in range(1, 40):
+            length = rng.choice([5, 30, 100, 200, 511, 512, 700]) if turn % 7 == 0 else rng.randrange(60)
+            rows.append((conv, turn, ("user", "assistant")[turn % 2], f"w{turn} " * length))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_no_window_exceeds_the_budget_whatever_the_system_turn(spark, seed):
+    rows = long_systems(seed)
+    windows = chat.format_windows(spark.createDataFrame(rows, TURNS)).collect()
+    size = {conv: len(text.split()) + 1 for conv, turn, _, text in rows if turn == 0}
+    retained = 0
+    for w in windows:
+        texts = [part.split(chat.SEPARATOR)[1] for part in w.formatted.split(chat.END)[:-1]]
+        tokens = [len(brute.SPACE.findall(text)) + 1 for text in texts]
+        assert sum(tokens) <= chat.BUDGET or len(tokens) == 1
+        system = w.formatted.startswith(f"{chat.START}system")
+        if w.window > 0 and size[w.conv_id] <= 384 and sum(tokens) - size[w.conv_id] * system + size[w.conv_id] <= chat.BUDGET:
+            assert system
+            retained += 1
+        if size[w.conv_id] > 384:
+            assert system == (w.window < 0) and (not system or len(tokens) == 1)
+    assert retained > 50
+    found = {
+        r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256)
+        for r in chat.conversation_digests(chat.format_windows(spark.createDataFrame(rows, TURNS))).collect()
+    }
+    assert found == expected(rows)
