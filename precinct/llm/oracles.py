@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from precinct.llm import chat, secrets
+from precinct.llm import chat
 
 WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -55,54 +55,85 @@ def _spans(pattern: str, rank: int, where: str = "TRUE") -> str:
     WHERE {where}"""
 
 
-def _entropy(kind: str) -> str:
-    """Candidates of a class with a window above the threshold, and on no allow list."""
-    rank = secrets.KINDS.index(kind)
-    chars, threshold = secrets.ENTROPY_CLASSES[kind]
-    width = secrets.WINDOW
-    most = math.floor((math.log2(width) - threshold) * width * 1_000_000)
-    listed = " OR ".join(f"regexp_matches(value, '{p}')" for p in secrets.ALLOW if "\\1" not in p)
-    repeats = (
-        "len(list_filter(generate_series(1, 8), lambda u: length(value) % u = 0 AND length(value) > u "
-        "AND value = repeat(substr(value, 1, CAST(u AS INTEGER)), length(value) // u))) > 0"
-    )
+# The rules of the scan as the oracle states them, apart from the library's.
+_KEYS = "|".join(
+    "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token")
+) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_ASSIGNED = rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = ("assign", "access", "hex", "hex_entropy", "base64_entropy")
+_CLASSES = {"hex_entropy": ("A-Fa-f0-9", 2.8), "base64_entropy": ("A-Za-z0-9+/_=-", 3.75)}
+_WIDTH = 20
+# No secrets: words of one case with two digits at most, none of them before a letter; words
+# joined by signs, a capital each, two digits at the end; joined capitalised words of four
+# letters or more; text without letters; UUIDs; repeats of a unit of up to eight characters.
+_FEW_DIGITS = (
+    "length(regexp_replace(value, '[^0-9]', '', 'g')) <= 2 AND NOT regexp_matches(value, '[0-9][A-Za-z]')"
+)
+_PARTS = "string_split_regex(value, '[+/_=-]')"
+_HARMLESS = f"""(
+     (NOT regexp_matches(substr(value, 2), '[A-Z]') AND {_FEW_DIGITS})
+  OR (NOT regexp_matches(value, '[a-z]') AND {_FEW_DIGITS})
+  OR (len({_PARTS}) BETWEEN 2 AND 201
+      AND len(list_filter({_PARTS}[1:-2], lambda w: NOT regexp_full_match(w, '[A-Z]?[a-z]*'))) = 0
+      AND regexp_full_match({_PARTS}[-1], '[A-Z]?[a-z]*[0-9]?[0-9]?'))
+  OR regexp_full_match(value, '[A-Z]?[a-z]+([A-Z][a-z][a-z][a-z]+){{1,40}}')
+  OR NOT regexp_matches(value, '[A-Za-z]')
+  OR regexp_full_match(lower(value), '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}')
+  OR len(list_filter(generate_series(1, 8), lambda u: length(value) % u = 0 AND length(value) > u
+         AND value = repeat(substr(value, 1, CAST(u AS INTEGER)), length(value) // u))) > 0)"""
+
+
+def _entropy(kind: str, earlier: str) -> str:
+    """Pieces of a class's runs outside of earlier spans, with a window above the threshold.
+
+    Every character of a run that no earlier span covers is looked at; those next to each
+    other make a piece.
+    """
+    chars, threshold = _CLASSES[kind]
+    most = math.floor((math.log2(_WIDTH) - threshold) * _WIDTH * 1_000_000)
     return f"""
-     {kind}_runs AS ({_spans(f"[{chars}]{{{width},}}", rank)}),
+     {kind}_runs AS ({_spans(f"[{chars}]{{{_WIDTH},}}", _KINDS.index(kind))}),
+     {kind}_free AS (
+       SELECT id, start AS run, value, rank, place,
+              place - row_number() OVER (PARTITION BY id, start ORDER BY place) AS island
+       FROM (SELECT *, unnest(generate_series(start, "end" - 1)) AS place FROM {kind}_runs)
+       ANTI JOIN (SELECT DISTINCT id, unnest(generate_series(start, "end" - 1)) AS place FROM {earlier}) AS covered
+         USING (id, place)),
+     {kind}_pieces AS (
+       SELECT id, min(place) AS start, any_value(rank) AS rank, max(place) + 1 AS "end",
+              substr(any_value(value), CAST(min(place) - run + 1 AS INTEGER), CAST(count(*) AS INTEGER)) AS value
+       FROM {kind}_free GROUP BY id, run, island HAVING count(*) >= {_WIDTH}),
      {kind}_counts AS (
        SELECT id, start, k, letter, count(*) AS c
-       FROM (SELECT id, start, k, unnest(string_split(substr(value, CAST(k AS INTEGER), {width}), '')) AS letter
-             FROM (SELECT *, unnest(generate_series(1, length(value) - {width} + 1)) AS k FROM {kind}_runs))
+       FROM (SELECT id, start, k, unnest(string_split(substr(value, CAST(k AS INTEGER), {_WIDTH}), '')) AS letter
+             FROM (SELECT *, unnest(generate_series(1, length(value) - {_WIDTH} + 1)) AS k FROM {kind}_pieces))
        GROUP BY ALL),
      {kind}_best AS (
        SELECT id, start, min(total) AS total
        FROM (SELECT id, start, k, sum(CAST(round(c * log2(c) * 1000000) AS BIGINT)) AS total
              FROM {kind}_counts GROUP BY ALL) GROUP BY ALL),
      {kind}_spans AS (
-       SELECT r.* FROM {kind}_runs r JOIN {kind}_best b ON r.id = b.id AND r.start = b.start
-       WHERE total <= {most} AND NOT ({listed} OR {repeats}))"""
-
+       SELECT p.* FROM {kind}_pieces p JOIN {kind}_best b ON p.id = b.id AND p.start = b.start
+       WHERE total <= {most} AND NOT {_HARMLESS})"""
 
-def _unmet(kind: str, earlier: str) -> str:
-    return f"""
-       SELECT * FROM {kind}_spans s WHERE NOT EXISTS (
-         SELECT 1 FROM {earlier} e WHERE e.id = s.id AND e.start < s."end" AND e."end" > s.start)"""
 
-
-KIND_NAMES = "[" + ", ".join(f"'{kind}'" for kind in secrets.KINDS) + "]"
+KIND_NAMES = "[" + ", ".join(f"'{kind}'" for kind in _KINDS) + "]"
 JOINED = (
     f"string_agg({KIND_NAMES}[rank + 1] || ':' || start || ':' || \"end\", ',' "
     'ORDER BY start, rank, "end")'
 )
+_LONG_VALUE = f"length(regexp_extract(value, '{_ASSIGNED.replace(chr(39), chr(39) * 2)}', 2)) >= 12"
 
 SECRETS = f"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS id, coalesce(text, '') AS text FROM documents),
      base AS (
-       {_spans(secrets.ASSIGN, 0, f"length(regexp_extract(value, '{secrets.ASSIGN.replace("'", "''")}', 2)) >= 12")}
+       {_spans(_ASSIGNED, 0, _LONG_VALUE)}
        UNION ALL {_spans("AKIA[A-Z0-9]+", 1, "length(value) >= 18")}
        UNION ALL {_spans("[0-9a-f]+", 2, "length(value) >= 16")}),
-     {_entropy("hex_entropy")}, {_entropy("base64_entropy")},
-     with_hex AS (SELECT * FROM base UNION ALL {_unmet("hex_entropy", "base")}),
-     every AS (SELECT * FROM with_hex UNION ALL {_unmet("base64_entropy", "with_hex")}),
+     {_entropy("hex_entropy", "base")},
+     with_hex AS (SELECT * FROM base UNION ALL SELECT * FROM hex_entropy_spans),
+     {_entropy("base64_entropy", "with_hex")},
+     every AS (SELECT * FROM with_hex UNION ALL SELECT * FROM base64_entropy_spans),
      counted AS (
        SELECT id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
               count(*) FILTER (rank = 2) AS n_hex, {JOINED} AS joined FROM base GROUP BY id),
@@ -173,26 +204,42 @@ WITH turns AS (
               coalesce(max(CASE WHEN place = 0 AND role = 'system' THEN tokens END) OVER of_conv, 0) AS system_tokens,
               coalesce(max(CASE WHEN place = 0 AND role = 'system' THEN chars END) OVER of_conv, 0) AS system_chars
        FROM sized WINDOW of_conv AS (PARTITION BY conv_id)),
+     shared AS (
+       SELECT *, system_tokens <= {chat.BUDGET - chat.BUDGET // 4} AS retained,
+              CASE WHEN system_tokens > {chat.BUDGET - chat.BUDGET // 4} THEN {chat.HISTORY}
+                   ELSE least({chat.HISTORY}, {chat.BUDGET - chat.BUDGET // 4} - system_tokens) END AS history
+       FROM opened),
      ruled AS (
-       SELECT *, greatest({chat.BUDGET - chat.HISTORY} - system_tokens, {chat.BUDGET // 4}) AS capacity,
+       SELECT *, {chat.BUDGET} - history - CASE WHEN retained THEN system_tokens ELSE 0 END AS capacity,
               sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (
                 PARTITION BY conv_id ORDER BY place) - tokens AS before
-       FROM opened),
-     celled AS (SELECT *, before // capacity AS cell, (before + tokens - 1) // capacity AS last_cell
-                FROM ruled WHERE NOT is_system),
+       FROM shared),
+     celled AS (
+       SELECT *, CASE WHEN NOT is_system THEN before // capacity WHEN retained THEN 0 ELSE -1 END AS cell,
+              (before + tokens - 1) // capacity AS last_cell
+       FROM ruled),
      apart AS (
-       SELECT *, last_cell > cell AND sum(tokens) OVER (PARTITION BY conv_id, cell) > capacity AS alone
+       SELECT *, NOT is_system AND last_cell > cell AND sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (
+                PARTITION BY conv_id, cell) > capacity AS alone
        FROM celled),
-     windows AS (
-       SELECT conv_id, cell, alone, min(before) AS "window", sum(chars) AS chars, any_value(system_chars) AS system_chars
+     gathered AS (
+       SELECT conv_id, cell, alone, min(CASE WHEN is_system THEN -1 ELSE before END) AS "window",
+              sum(chars) AS chars, sum(tokens) AS own, any_value(history) AS history,
+              any_value(system_tokens) AS system_tokens, any_value(system_chars) AS system_chars,
+              any_value(retained) AND NOT bool_or(is_system)
+                AND sum(tokens) + any_value(system_tokens) <= {chat.BUDGET} AS repeats_system
        FROM apart GROUP BY ALL),
+     windows AS (
+       SELECT *, least(history, {chat.BUDGET} - own - CASE WHEN repeats_system THEN system_tokens ELSE 0 END) AS reach
+       FROM gathered),
      repeats AS (
        SELECT w.conv_id, w.cell, w.alone, sum(t.chars) AS chars
-       FROM windows w JOIN apart t ON t.conv_id = w.conv_id
-        AND t.before >= w."window" - {chat.HISTORY} AND t.before + t.tokens <= w."window"
+       FROM windows w JOIN apart t ON t.conv_id = w.conv_id AND NOT t.is_system
+        AND t.before >= w."window" - w.reach AND t.before + t.tokens <= w."window"
        WHERE w."window" > 0 GROUP BY ALL),
      formatted AS (
-       SELECT w.conv_id, sum(w.chars + w.system_chars + coalesce(r.chars, 0)) AS formatted_chars
+       SELECT w.conv_id,
+              sum(w.chars + CASE WHEN repeats_system THEN system_chars ELSE 0 END + coalesce(r.chars, 0)) AS formatted_chars
        FROM windows w LEFT JOIN repeats r
          ON r.conv_id = w.conv_id AND r.cell = w.cell AND r.alone = w.alone GROUP BY ALL),
      texts AS (
