@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from precinct.llm import near_duplicates as module
 from precinct.llm.components import connected
 from precinct.llm.near_duplicates import (
     bands_for,
@@ -114,53 +113,3 @@ def test_a_large_group_makes_no_pairs(spark):
     )
     row = near_duplicates(docs).agg(F.min("n_links"), F.max("n_links"), F.count_distinct("class_id")).first()
     assert tuple(row) == (1_199, 1_199, 1)
-
-
-def compared_rows(monkeypatch, docs):
-    """Rows that reach the verifier, and the largest number of them for one node and group."""
-    counts = []
-    original = module.comparisons
-
-    def counting(*args, **options):
-        jobs, known = original(*args, **options)
-        rows = jobs.groupBy("unit", "band", "one", "two", "digest").count()
-        counts.append(tuple(rows.agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()))
-        return jobs, known
-
-    with monkeypatch.context() as patch:
-        patch.setattr(module, "comparisons", counting)
-        found = near_duplicates(docs).select("row.doc_id", "n_links", "class_id").collect()
-    return counts[0], found
-
-
-def test_work_grows_in_proportion_to_a_group(spark, monkeypatch):
-    """A close group with some texts further off: links stay exact, and rows do not square."""
-    base = [f"w{k}" for k in range(300)]
-    rng = random.Random(3)
-    rows = []
-    for size in (1_024, 2_048):
-        docs = [(k, " ".join([*base, f"end{k}"])) for k in range(size)]
-        for k in range(12):
-            other = list(base)
-            for place in rng.sample(range(300), 3 + k % 6):
-                other[place] = f"x{k}"
-            docs.append((size + k, " ".join(other)))
-        frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8)
-        (n, most), found = compared_rows(monkeypatch, frame)
-        rows.append(n)
-        assert most is None or most == 1
-        by_id = {r.doc_id: r for r in found}
-        sets = [set(brute.grams(text)) for _, text in docs]
-        close = {k for k in range(size, size + 12) if len(sets[0] & sets[k]) >= 0.8 * len(sets[0] | sets[k])}
-        assert 0 < len(close) < 12
-        assert all(by_id[k].n_links == size - 1 + len(close) and by_id[k].class_id == 0 for k in range(size))
-        assert all(by_id[k].class_id == 0 and by_id[k].n_links >= size for k in close)
-    assert rows[1] <= 2.5 * rows[0] and rows[1] < 80_000
-
-
-def test_repeated_rows_are_read_once(spark, monkeypatch):
-    base = " ".join(f"w{k}" for k in range(100))
-    docs = [(1, base)] * 3_000 + [(2, base + " end"), (None, base)]
-    (n, most), found = compared_rows(monkeypatch, spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8))
-    assert (n, most) == (2, 1)
-    assert len(found) == 3_002 and {r.n_links for r in found} == {3_001}
