@@ -101,11 +101,15 @@ def _signer(n: int, bands: int, rows: int):
 
 def _gram_reader(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for batch in batches:
             sets, right = [], []
             for value, digest in zip(batch["text"], batch["digest"].to_pylist()):
-                own = grams(value.as_py(), n)
+                # Rows repeated with id and text all carry the digest; a task reads one of them.
+                own = grams(None if digest in done else value.as_py(), n)
                 right.append(xxhash.xxh3_128_digest(own.tobytes()) == digest)
+                if right[-1]:
+                    done.add(digest)
                 sets.append(own.view(np.int64))
             row = batch.drop_columns(["text"])
             made = row.append_column("grams", pa.array(sets, pa.list_(pa.int64())))
@@ -265,7 +269,8 @@ def near_duplicates(
 
     Memory per task is bounded by ``block_nodes`` and ``block_grams``, of which one or two
     blocks meet, whatever the size of a group of copies. A text longer than that is a block
-    of its own.
+    of its own. Rows repeated with id and text count as copies, and at most one of them per task
+    reaches a comparison.
 
     A null or empty text, or one without words, has no n-grams, links to nothing and is its
     own class. Repeated rows are copies of each other. Null ids are allowed; a class all of

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+import uuid
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import brute
+from precinct.llm import near_duplicates as near_duplicates_module
 from precinct.llm.components import connected
 from precinct.llm.near_duplicates import (
     bands_for,
@@ -113,3 +116,36 @@ def test_a_large_group_makes_no_pairs(spark):
     )
     row = near_duplicates(docs).agg(F.min("n_links"), F.max("n_links"), F.count_distinct("class_id")).first()
     assert tuple(row) == (1_199, 1_199, 1)
+
+
+def test_repeated_rows_reach_a_comparison_once_a_task(spark, monkeypatch, tmp_path):
+    """3,000 equal rows and one near copy: what the verifier gets is counted by its own output."""
+    base = " ".join(f"w{k}" for k in range(80))
+    docs = spark.range(3_001).select(
+        F.when(F.col("id") > 0, 5).otherwise(6).cast("long").alias("doc_id"),
+        F.when(F.col("id") > 0, F.lit(base)).otherwise(F.lit(base + " end")).alias("text"),
+    )
+    reader = near_duplicates_module._gram_reader
+    folder = str(tmp_path)
+
+    def counting(n):
+        read = reader(n)
+
+        def run(batches):
+            rows = 0
+            for batch in read(batches):
+                rows += batch.num_rows
+                yield batch
+            (Path(folder) / uuid.uuid4().hex).write_text(str(rows))
+
+        return run
+
+    monkeypatch.setattr(near_duplicates_module, "_gram_reader", counting)
+    found = near_duplicates(docs).groupBy("row.doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("n_links").alias("low"), F.max("n_links").alias("high"),
+        F.max("class_id").alias("class_id"),
+    )
+    rows = {r.doc_id: (r.rows, r.low, r.high, r.class_id) for r in found.collect()}
+    assert rows == {5: (3_000, 3_000, 3_000, 5), 6: (1, 3_000, 3_000, 5)}
+    counts = [int(p.read_text()) for p in Path(folder).iterdir()]
+    assert 2 <= sum(counts) <= len(counts) + 1 and max(counts) <= 2
