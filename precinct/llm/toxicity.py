@@ -200,7 +200,8 @@ def learn(
     """Fit the chain on ``labels`` (doc_id and a 0/1 column per category) and their texts.
 
     At most ``max_labelled`` labelled documents are used, those with the smallest hash of
-    their id; labels with a null are left out. The word buckets of those documents and the
+    their id; labels with a null are left out. Rows repeated under a labelled id count up to twice
+    that bound in all. The word buckets of those documents and the
     hashes of their n-grams are what the driver holds, not their texts. Of near copies with
     the same labels one is used (``unlike``). Without labels the chain is empty.
     """

@@ -6,9 +6,11 @@ from collections import defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
+from precinct.llm import toxicity
 from precinct.llm.queries import QUERIES
 
 
@@ -53,3 +55,23 @@ def test_op8_counts(spark, sf_dir, documents):
         n = len(tokenizer.encode(d.text or "", add_special_tokens=False).ids)
         r = found[d.doc_id]
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((d.text or "").encode()), n > 1024)
+
+
+def test_op9_scores_every_document(spark, sf_dir, documents):
+    rows = QUERIES["op9_toxicity"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(d.doc_id for d in documents)
+    assert all(0 <= p <= 1 for r in rows for p in (r.p_low_quality, r.p_toxic))
+    assert all(r.toxic == (r.p_toxic >= 0.5) for r in rows)
+
+
+def test_op9_on_labels_it_has_not_seen(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    unseen = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    chain = toxicity.learn(docs, labels.where(~unseen), ("low_quality", "toxic"))
+    scored = toxicity.toxicity(docs, chain).select("row.doc_id", F.col("probabilities")[1].alias("p"))
+    rows = scored.join(labels.where(unseen), "doc_id").collect()
+    found = [r.toxic == 1 for r in rows if r.p >= 0.5]
+    assert sum(found) / len(found) >= 0.9
+    assert sum(found) / sum(r.toxic == 1 for r in rows) >= 0.7
