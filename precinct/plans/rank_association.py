@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from precinct.operators.fanout import SALTS, salted_join
 from precinct.operators.ranks import double_ranks, rows_before
+from precinct.operators.shuffles import shuffled_cells
 from precinct.plans.association import paired_counts
 from precinct.sources.shared import staged
 
@@ -132,7 +133,7 @@ def permutation_test(
     in integers. ``n_at_least`` shuffles have at least the observed one, and the p-value is
     (n_at_least + 1) / (shuffles + 1), never 0.
 
-    All shuffles are one sort by range of pairs times shuffles; a pair is two numbers there.
+    Values are numbered, and ``shuffled_cells`` puts the numbers in each order by stretches.
     Keys must be distinct. Pairs with a null on either side are left out; none give nulls.
     """
     spark = pairs.sparkSession
@@ -144,18 +145,20 @@ def permutation_test(
     n = known.count()
     if n == 0:
         return spark.createDataFrame([(0, shuffles, None, None, None)], SHUFFLED)
-    lefts = known.groupBy("l").agg(F.count(F.lit(1)).alias("n_l"))
-    rights = known.groupBy("r").agg(F.count(F.lit(1)).alias("n_r"))
-    observed = _shares(_cells(known, "l", "r"), [], lefts, rights, salts).first().share
-    every = known.select("key", "l", "r", F.explode(F.sequence(F.lit(0), F.lit(shuffles))).alias("b"))
+    totals, numbered = {}, known
+    for side in ("l", "r"):
+        values = known.groupBy(side).agg(F.count(F.lit(1)).alias(f"n_{side}"))
+        numbers = staged(rows_before(values, [side], output="number"), "numbers")
+        numbered = salted_join(numbered, numbers.select(side, "number"), side, spread_by=["key"], salts=salts)
+        numbered = numbered.drop(side).withColumnRenamed("number", side)
+        totals[side] = numbers.select(F.col("number").alias(side), f"n_{side}")
+    numbered = staged(numbered, "numbered-pairs")
+    observed = _shares(_cells(numbered, "l", "r"), [], totals["l"], totals["r"], salts).first().share
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("b").cast("string"), F.lit(":"), F.col("key")))
-    # Each order has n rows, so places over all of them give the place in each.
-    placed = rows_before(every.withColumn("digest", digest), ["b", "digest", "key"], output="place")
-    placed = staged(placed.select("b", "l", "r", (F.col("place") - F.col("b") * n).alias("place")), "shuffles")
-    first = placed.where("b = 0").select("l", "place", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("b"))
-    met = first.join(placed.where("b > 0").select("b", "r", "place"), ["b", "place"])
-    cells = met.groupBy("b", "l", "r").agg(F.count(F.lit(1)).alias("o"))
-    at_least = _shares(cells, ["b"], lefts, rights, salts).where(F.col("share") >= observed).count()
+    # A null key has no digest, and stands first in each order.
+    digest = F.unhex(F.coalesce(digest, F.lit("0" * 32)))
+    cells = shuffled_cells(numbered, digest, left="l", right="r", n=n, shuffles=shuffles)
+    at_least = _shares(cells, ["b"], totals["l"], totals["r"], salts).where(F.col("share") >= observed).count()
     p_value = (at_least + 1) / (shuffles + 1)
     return spark.createDataFrame([(n, shuffles, at_least, p_value, p_value < alpha)], SHUFFLED)
 

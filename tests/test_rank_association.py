@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import A, B, bag, plain_join, random_tables, sql_set
 from precinct.operators.ranks import double_ranks, rows_before
+from precinct.operators.shuffles import shuffled_cells
 from precinct.plans.rank_association import (
     permutation_test,
     rank_sums,
@@ -18,6 +21,7 @@ from precinct.plans.rank_association import (
     shuffled_association,
     spearman,
 )
+from precinct.sources.shared import shared_dir
 from workload.catalog import QUERIES
 
 SCHEMA = "key string, left_count bigint, right_count bigint"
@@ -132,6 +136,42 @@ def test_shuffles_tell_tied_from_unrelated(spark):
         assert tuple(permutation_test(pairs_of(spark, rows)).first()) == (0, 199, None, None, None)
 
 
+def plain_cells(rows, shuffles):
+    def order(b, side):
+        return [row[side] for row in sorted(rows, key=lambda row: (hashlib.md5(f"{b}:{row[0]}".encode()).digest(), row[side]))]
+
+    first = order(0, 1)
+    return Counter((b, l, r) for b in range(1, shuffles + 1) for l, r in zip(first, order(b, 2)))
+
+
+@pytest.mark.parametrize(("n", "keys", "stretch"), [(500, 500, 32), (500, 500, 1), (300, 20, 16), (9, 9, 1024), (1, 1, 4)])
+def test_cells_of_stretches_are_those_of_whole_orders(spark, n, keys, stretch):
+    """Stretches of digests and blocks of places end at different rows; equal keys keep together."""
+    rng = random.Random(n + keys)
+    rows = [(f"k{i % keys}", rng.randrange(min(n, 9)), rng.randrange(n)) for i in range(n)]
+    pairs = spark.createDataFrame(rows, "key string, l bigint, r bigint").repartition(5)
+    digest = F.unhex(F.md5(F.concat(F.col("b").cast("string"), F.lit(":"), F.col("key"))))
+    found = shuffled_cells(pairs, digest, left="l", right="r", n=n, shuffles=6, stretch=stretch).collect()
+    assert Counter({(c.b, c.l, c.r): c.o for c in found}) == plain_cells(rows, 6)
+    assert len(found) == len({(c.b, c.l, c.r) for c in found})
+
+
+def test_a_null_key_stands_first_in_each_order(spark):
+    rows = [(None, 7, 9)] + [(f"k{i}", 1, i % 3) for i in range(30)]
+    assert permutation_test(spark.createDataFrame(rows, SCHEMA), shuffles=19).first().p_value == 1.0
+
+
+def test_shuffles_write_a_number_for_each_pair(spark):
+    """Digests and keys as text, written for each pair of each shuffle, filled disks and hours."""
+    rng = random.Random(5)
+    pairs = pairs_of(spark, [(rng.randrange(30), rng.randrange(40)) for _ in range(2000)])
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("*.parquet"))
+    permutation_test(pairs)
+    written = [file for file in set(folder.rglob("*.parquet")) - before if file.is_file()]
+    assert written and sum(file.stat().st_size for file in written) < 8 * 2000 * 200
+
+
 @pytest.mark.parametrize("key", ["area_code", "district"])
 def test_association_from_incidents(spark, key):
     incidents, lookup = random_tables(spark, 3)
